@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from factloom.functions.severity import SEVERITIES, severity_rank
 from factloom.llm.group_topn import group_topn
+from factloom.llm.name_link import linked_slugs
 from factloom.session import load
 
 TOP_N = 3
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_slugs(load(spark, d, "plugins"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return group_topn(
         load(spark, d, "findings"),
@@ -23,7 +28,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
 
 ORACLES = {
     "p4_found": """
