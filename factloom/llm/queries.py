@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.severity import SEVERITIES, severity_rank
 from factloom.llm.group_topn import group_topn
 from factloom.llm.name_link import linked_slugs
+from factloom.llm.subjects import document_subjects
 from factloom.session import load
 
 TOP_N = 3
@@ -28,7 +29,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(
+        load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects")
+    ).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by subject; a document counts in each of its subjects."""
+    documents = load(spark, d, "documents").select("doc_id", "n_chars")
+    return (
+        p8_found(spark, d)
+        .join(documents, "doc_id")
+        .groupBy("subject")
+        .agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_chars").alias("n_chars"))
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found, "p8_composition": p8_composition}
 
 ORACLES = {
     "p4_found": """
