@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.severity import SEVERITIES, severity_rank
 from factloom.llm.group_topn import group_topn
+from factloom.llm.mixing import mix_report, mix_sources
 from factloom.llm.name_link import linked_slugs
+from factloom.llm.packing import pack_documents, packing_report
 from factloom.llm.subjects import document_subjects
 from factloom.session import load
 
@@ -29,6 +31,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(load(spark, d, "documents"), load(spark, d, "pack_sizes"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p6_packing(spark, d))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p7_mixture(spark, d), load(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return document_subjects(
         load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects")
@@ -46,7 +64,10 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p4_found, p6_packing, p6_report, p7_mixture, p7_report, p8_found, p8_composition)
+}
 
 ORACLES = {
     "p4_found": """
