@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import corpus_queries
+from factloom.plans import corpus_queries, fact_queries
+from factloom.plans.fact_queries import flagship
 
-MODULES = [corpus_queries]
+MODULES = [fact_queries, corpus_queries]
 
 
 def queries() -> dict:
@@ -12,4 +13,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
