@@ -276,6 +276,8 @@ def learn_accuracies(patterns: list[tuple[int, int | None, float]], rounds: int
     maximisation over a latent truth on which the functions' levels depend
     independently; known truths stay fixed.
     """
+    if not patterns:
+        return {}
     sizes = list(FUNCTIONS.values())
     levels = np.array([decode(p) for p, _, _ in patterns])
     counts = np.array([c for _, _, c in patterns], dtype=float)
