@@ -94,7 +94,7 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     numbered = kept.join(order, ["batch_id", "version"]).select("snapshot_id", "batch_id", "idx", "n")
     span = F.shiftleft(F.col("idx").cast("bigint"), 31).bitwiseOR(F.col("n").cast("bigint"))
     states = (
-        records.withColumn("record_key", F.coalesce("record_key", F.lit(_NO_TEXT)))
+        records.select("snapshot_id", F.coalesce("record_key", F.lit(_NO_TEXT)).alias("record_key"), "record_hash")
         .join(numbered, "snapshot_id")
         .groupBy("batch_id", "idx", "record_key")
         .agg(F.min("record_hash").alias("lo"), F.max("record_hash").alias("hi"), F.max(span).alias("span"))
