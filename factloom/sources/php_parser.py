@@ -8,6 +8,7 @@ inline HTML. What it cannot read raises ``PhpError`` with the line.
 from __future__ import annotations
 
 import re
+import sys
 
 #: Most nesting of expressions and blocks before a file counts as unreadable.
 MAX_DEPTH = 400
@@ -733,4 +734,5 @@ class Parser:
 
 def parse_php(source: str) -> list[tuple]:
     """Statements of a file; raises ``PhpError``."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_DEPTH))
     return Parser(source.replace("\r\n", "\n")).program()
