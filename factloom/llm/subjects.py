@@ -333,6 +333,8 @@ def document_subjects(
     joined = docs.join(known, "doc_id", "left")
     order = joined.select("doc_id", F.col("labels").isNull().alias("free"), F.xxhash64("doc_id").alias("h"))
     chosen = order.orderBy("free", "h", "doc_id").limit(fit_documents).select("doc_id")
+    if not listed:
+        return docs.select("doc_id", F.lit("").alias("subject"), F.lit(0.0).alias("posterior")).limit(0)
     sample = stage(joined.join(chosen.distinct(), "doc_id", "left_semi"), "subject-sample", 24)
     lexicon = fit_lexicon(sample, listed)
     address = fit_associations(sample.withColumn("address", F.nullif("address", F.lit(""))), "address", n)
