@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.closure import components
+from factloom.operators.joins import near_before
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -41,11 +42,7 @@ def cluster_by_keys(df: DataFrame, row: str, keys: Sequence[Column]) -> DataFram
 
 def without_guarded(findings: DataFrame, guards: DataFrame, by: Sequence[str], line: str, guard_line: str, within: int = 48) -> DataFrame:
     """Findings that no guard stands 0 to ``within`` lines before."""
-    from factloom.operators.joins import near_before
-
-    marked = findings.withColumn("__f", F.monotonically_increasing_id())
-    guarded = near_before(marked.select("__f", *by, line), guards, by, line, guard_line, within).select("__f")
-    return marked.join(guarded, "__f", "left_anti").drop("__f")
+    return near_before(findings, guards, by, line, guard_line, within, absent=True)
 
 
 def key_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

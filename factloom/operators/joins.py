@@ -27,8 +27,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, val
     return seen.where(F.col("__row").isNotNull()).select("__row.*", *(F.col("__last").getField(v).alias(v) for v in values))
 
 
-def near_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, within: int) -> DataFrame:
-    """Rows of ``left`` for which ``right`` has one at 0 to ``within`` before it.
+def near_before(
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, within: int, absent: bool = False
+) -> DataFrame:
+    """Rows of ``left`` for which ``right`` has one at 0 to ``within`` before it; ``absent``: has none.
+
+    Null keys and positions have none.
 
     Positions are cut into blocks of ``within`` + 1, so only two blocks can
     match: an equi join on (by, block). Positions are made distinct first, so
@@ -45,7 +49,7 @@ def near_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: s
         .select(*by, F.col("__q").alias(left_at))
         .distinct()
     )
-    return left.join(hits, [*by, left_at], "left_semi")
+    return left.join(hits, [*by, left_at], "left_anti" if absent else "left_semi")
 
 
 def prefix_join(left: DataFrame, text: str, patterns: DataFrame, prefix: str, max_patterns: int = 10_000) -> DataFrame:

@@ -112,6 +112,8 @@ def test_near_before(spark):
     want = sorted(i for k, p, i in left if p is not None and any(j == k and q is not None and 0 <= p - q <= 48 for j, q in right))
     got = joins.near_before(spark.createDataFrame(left, "k string, p int, id int"), spark.createDataFrame(right, "k string, q int"), ["k"], "p", "q", 48)
     assert sorted(r.id for r in got.collect()) == want
+    none = joins.near_before(spark.createDataFrame(left, "k string, p int, id int"), spark.createDataFrame(right, "k string, q int"), ["k"], "p", "q", 48, absent=True)
+    assert sorted(r.id for r in none.collect()) == sorted(i for _, _, i in left if i not in want)
 
 
 def test_prefix_and_tiers(spark):
