@@ -112,6 +112,7 @@ class Interpreter:
         self.checks: set[tuple] = set()
         self.entries: set[tuple] = set()
         self.registered: set[tuple] = set()
+        self.reads: set[tuple] = set()
 
     # Results
     def run(self) -> dict:
@@ -120,6 +121,8 @@ class Interpreter:
             self.env[name] = Value(fields={"*": own}) if spread else own
         for name in self.r.get("uses") or []:
             self.env.setdefault(name, Value())
+        if self.r["kind"] == "file" and not any("defined(" in t.replace(" ", "") for n, t in self.r["lines"].items() if n <= 24):
+            self.entries.add((self.r["key"], "file", self.r["path"], "unknown"))  # may be requested by itself
         if self.r["class"]:
             self.env["this"] = Value({("R", ()): 0}, type=self.r["class"].lower())
         try:
@@ -134,6 +137,7 @@ class Interpreter:
             "checks": sorted(self.checks),
             "entries": sorted(self.entries),
             "registered": sorted(self.registered),
+            "reads": sorted(self.reads),
             "type": self.returns.type,
         }
 
@@ -374,7 +378,8 @@ class Interpreter:
         return out
 
     def e_binary(self, e) -> Value:
-        a, b = self.eval(e[3]), self.eval(e[4])
+        a = self.eval(e[3])
+        b = self.maybe(e[4]) if e[2] in ("&&", "||", "and", "or", "??") else self.eval(e[4])
         if e[2] == "??":
             return a.join(b)
         if e[2] == ".":
@@ -383,6 +388,13 @@ class Interpreter:
             return a.flat(NUMERIC | HTML_SAFE).join(b.flat(NUMERIC | HTML_SAFE)) if e[2] != "+" else a.join(b)
         return Value()
 
+    def maybe(self, e) -> Value:
+        """A part that may not be evaluated: if it ends the path, the path goes on without it."""
+        try:
+            return self.eval(e)
+        except Stop:
+            return Value()
+
     def e_unary(self, e) -> Value:
         v = self.eval(e[3])
         if e[2] in ("!",):
@@ -397,8 +409,8 @@ class Interpreter:
 
     def e_ternary(self, e) -> Value:
         c = self.eval(e[2])
-        a = c if e[3] is None else self.eval(e[3])
-        return a.join(self.eval(e[4]))
+        a = c if e[3] is None else self.maybe(e[3])
+        return a.join(self.maybe(e[4]))
 
     def e_match(self, e) -> Value:
         self.eval(e[2])
@@ -406,7 +418,7 @@ class Interpreter:
         for tests, value in e[3]:
             for t in tests or []:
                 self.eval(t)
-            out = out.join(self.eval(value))
+            out = out.join(self.maybe(value))
         return out
 
     def e_isset(self, e) -> Value:
@@ -441,6 +453,14 @@ class Interpreter:
 
     def e_include(self, e) -> Value:
         self.emit(M.INCLUDE, "include", self.eval(e[2]), e[1])
+        if text := literal(e[2]):
+            parts: list[str] = self.r["path"].split("/")[:-1]
+            for part in text.split("/"):
+                if part == "..":
+                    parts = parts[:-1]
+                elif part not in ("", "."):
+                    parts.append(part)
+            self.apply("file:" + "/".join(parts), [], None, e[1])
         return Value()
 
     def e_closure(self, e) -> Value:
@@ -598,6 +618,8 @@ class Interpreter:
                     self.store(family, key, k, f, self.place(line))
             return Value()
         for _, family, key_at in _READS.get(name, []):
+            key = literal(e[3][key_at]) if key_at < len(e[3]) else None
+            self.reads.add((family, key or "*", line))
             return Value({("S", *self.place(line)): PERSISTENT})
         if name in M.HTML_UNSAFE:
             return _union(args).flat(HTML_UNSAFE)
@@ -642,6 +664,15 @@ class Interpreter:
                 if a[0] in ("array", "closure") and (ref := self.callback(a)):
                     self.entries.add((ref, "admin_page", name, "authenticated"))
             return True
+        if name == "add_meta_box" and len(given) > 2:
+            if ref := self.callback(given[2]):
+                self.entries.add((ref, "meta_box", literal(given[0]) or "", "authenticated"))
+            return True
+        if name == "register_block_type" and len(given) > 1 and given[1][0] == "array":
+            for k, v in given[1][2]:
+                if isinstance(k, tuple) and literal(k) == "render_callback" and (ref := self.callback(v)):
+                    self.entries.add((ref, "block", literal(given[0]) or "", "unauthenticated"))
+            return True
         if name == "register_rest_route" and len(given) > 2 and given[2][0] == "array":
             routes = [i for _, i in given[2][2] if i is not None and i[0] == "array" and any(literal(k) == "callback" for k, _ in i[2] if isinstance(k, tuple))]
             for route in routes or [given[2]]:

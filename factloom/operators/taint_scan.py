@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.access import access_severity, derive_access, exploitability, minimum_role, role_level
+from factloom.functions.access import access_severity, derive_access, exploitability, minimum_role, role_level, tier_weight
 from factloom.operators import taint_models as M
 from factloom.operators.closure import propagate_sets
 from factloom.operators.taint_interpreter import Interpreter
@@ -110,7 +110,7 @@ def _interpret(inputs: DataFrame, strict: bool) -> DataFrame:
                 try:
                     summary = Interpreter(pickle.loads(record), known, strict).run()
                 except RecursionError:
-                    summary = {"returns": [], "sinks": [], "stores": [], "calls": [], "checks": [], "entries": [], "registered": [], "type": None, "truncated": True}
+                    summary = {"returns": [], "sinks": [], "stores": [], "calls": [], "checks": [], "entries": [], "registered": [], "reads": [], "type": None, "truncated": True}
                 rows.append((root, key, json.dumps(summary, sort_keys=True)))
             yield pd.DataFrame(rows, columns=["root", "key", "summary"])
 
@@ -229,6 +229,32 @@ def contexts(summaries: DataFrame, edges: DataFrame, meaning: DataFrame) -> Data
     ).select("root", "key", "f.*")
 
 
+def stored_access(summaries: DataFrame, callables: DataFrame, access: DataFrame) -> DataFrame:
+    """(root, path, line, stored_access): for each read of a store, the most reachable tier that writes request values to it.
+
+    Writers are matched by store and key, and only where no writer has the key,
+    by the store alone. ``access``: root, key, access of callables.
+    """
+    stores = summaries.select("root", "key", F.explode(F.from_json(F.get_json_object("summary", "$.stores"), "array<string>")).alias("x"))
+    writers = (
+        stores.where(F.get_json_object("x", "$[2][0]") == "S")
+        .select("root", "key", F.get_json_object("x", "$[0]").alias("family"), F.get_json_object("x", "$[1]").alias("name"))
+        .join(access, ["root", "key"], "left")
+        .withColumn("access", F.coalesce("access", F.lit("unknown")))
+    )
+    widest = F.max_by("access", F.struct(tier_weight(F.col("access")), "access"))
+    exact = writers.groupBy("root", "family", "name").agg(widest.alias("by_key"))
+    loose = writers.groupBy("root", "family").agg(widest.alias("by_family"))
+    reads = _facts(summaries, "reads").join(callables.select("root", "key", "path"), ["root", "key"]).select(
+        "root", "path", F.col("x")[2].cast("int").alias("line"), F.col("x")[0].alias("family"), F.col("x")[1].alias("name")
+    )
+    got = reads.join(exact, ["root", "family", "name"], "left").join(loose, ["root", "family"], "left")
+    tier = F.coalesce("by_key", "by_family")
+    return got.where(tier.isNotNull()).groupBy("root", "path", "line").agg(
+        F.max_by(tier, F.struct(tier_weight(tier), tier)).alias("stored_access")
+    )
+
+
 def scan(
     files: DataFrame, operations: tuple[str, ...] = OPERATIONS, max_passes: int = MAX_PASSES, strict: bool = False, fail_fast: bool = False
 ) -> DataFrame:
@@ -237,7 +263,8 @@ def scan(
     Unreadable files are left out (see ``extract_callables``). ``strict`` runs
     loops twice. Rows of one program don't depend on the order of its files.
     Result: root, rule_id, path, line, access, severity, required_capability,
-    minimum_role, source, sink, callable, entrypoints, finding_key, score.
+    minimum_role, source, sink, callable, entrypoints, finding_key,
+    stored_access, score.
     """
     callables = stage(extract_callables(files.where("path is not null"), fail_fast), "callables")
     summaries, edges, meaning = summarise(callables, max_passes, strict)
@@ -273,10 +300,17 @@ def scan(
         F.collect_set(F.when(privileged, F.struct("at", "line"))).alias("cap_places"),
         F.collect_set(F.when(is_check("nonce"), F.struct("at", "line"))).alias("nonce_places"),
     )
-    found = flows.join(folded.withColumnRenamed("key", "callable"), ["root", "callable"], "left")
     tiers = F.transform(F.coalesce("entrypoints", F.array().cast("array<struct<kind:string,name:string,access:string>>")), lambda x: x.getField("access"))
     access = derive_access(F.col("privileged"), F.col("capability"), F.col("auth"), F.lit(False), F.col("nonce"), tiers)
-    found = found.withColumn("access", access)
+    folded = folded.withColumn("access", access)
+    stored = stored_access(summaries, callables, folded.select("root", "key", "access"))
+    found = (
+        flows.withColumn("sp", F.col("source.path"))
+        .withColumn("sl", F.col("source.line"))
+        .join(folded.withColumnRenamed("key", "callable"), ["root", "callable"], "left")
+        .withColumn("access", F.coalesce("access", F.lit("unknown")))
+        .join(stored.withColumnsRenamed({"path": "sp", "line": "sl"}), ["root", "sp", "sl"], "left")
+    )
 
     def local(places: str):
         return F.exists(
@@ -291,7 +325,7 @@ def scan(
     found = found.withColumn("rule_id", rule).where(~(F.col("rule_id").isin(*M.GUARDED_RULES) & guarded))
     best = (
         found.groupBy("root", "rule_id", "source", "sink", "callable")
-        .agg(*(F.first(x, ignorenulls=True).alias(x) for x in ("access", "entrypoints", "cap")))
+        .agg(*(F.first(x, ignorenulls=True).alias(x) for x in ("access", "entrypoints", "cap", "stored_access")))
         .withColumn("required_capability", F.col("cap.name"))
     )
     return best.select(
@@ -308,5 +342,6 @@ def scan(
         "callable",
         F.coalesce("entrypoints", F.array().cast("array<struct<kind:string,name:string,access:string>>")).alias("entrypoints"),
         F.concat_ws("|", "rule_id", F.concat_ws(":", "sink.path", F.col("sink.line").cast("string")), F.concat_ws(":", "source.path", F.col("source.line").cast("string"))).alias("finding_key"),
-        exploitability(F.col("rule_id"), F.col("access")).alias("score"),
+        "stored_access",
+        exploitability(F.col("rule_id"), F.col("access"), F.col("stored_access")).alias("score"),
     )

@@ -69,6 +69,9 @@ def rules(code, **more):
         ("list($a, $b) = [1, $_GET['q']]; echo $a;", []),
         ("echo $_SERVER['HTTP_REFERER'];", [M.REFLECTED]),
         ("echo $_SERVER['SERVER_PORT'];", []),
+        ("defined('X') || exit; echo $_GET['q'];", [M.REFLECTED]),
+        ("$a or die(); echo $_GET['q'];", [M.REFLECTED]),
+        ("exit; echo $_GET['q'];", []),
     ],
 )
 def test_one_flow(code, want):
@@ -141,6 +144,21 @@ def test_scan_of_programs(spark):
     assert include.sink.path == "base.php" and include.source.line == 5
 
 
+def test_stored_values_meet_their_writers(spark):
+    files = {
+        "s": {
+            "w.php": "<?php defined('ABSPATH') || exit; add_action('wp_ajax_nopriv_w', 'w'); function w() { set_transient('k', $_POST['v']); set_transient('z', 1); }",
+            "r.php": "<?php defined('ABSPATH') || exit; add_shortcode('r', 'r'); function r() { echo get_transient('k'); echo get_option('none'); }",
+            "lib/inc.php": "<?php echo $_GET['a'];",
+            "i.php": "<?php include __DIR__ . '/lib/inc.php';",
+        }
+    }
+    got = {(r.rule_id, r.source.snippet[-20:], r.access, r.stored_access, r.score) for r in _scan(spark, files).collect() if r.rule_id == M.STORED}
+    assert {x[2:] for x in got} == {("authenticated", "unauthenticated", 1000)}
+    reflected = _scan(spark, files).where(F.col("rule_id") == M.REFLECTED).first()
+    assert {tuple(e)[:2] for e in reflected.entrypoints} == {("file", "lib/inc.php"), ("file", "i.php")}
+
+
 def test_scan_of_nothing(spark):
     files = spark.createDataFrame([], "root string, path string, source string")
     assert scan(files).count() == 0
