@@ -263,7 +263,7 @@ def normalise_instants(
         rows = one if rows is None else rows.unionByName(one)
     usable = book.read().where(F.col("utc_us").isNotNull())
     return (
-        rows.join(usable, ["raw", "zone", "date_order"])
+        rows.join(usable.hint("merge"), ["raw", "zone", "date_order"])
         .select("source_table", "record_id", "field_name", "utc_us")
         .distinct()
     )
