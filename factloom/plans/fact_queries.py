@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.access import access_severity, derive_access, exploitability, minimum_role, role_level
+from factloom.functions.access import (
+    CAPABILITY_ROLE,
+    ROLE_LEVEL,
+    access_severity,
+    derive_access,
+    exploitability,
+    minimum_role,
+    role_level,
+)
 from factloom.functions.severity import canonical_severity
-from factloom.functions.text import fingerprint, plain_text, tolerant_string, url_host, wildcard_pattern
+from factloom.functions.text import ENTITIES, fingerprint, plain_text, tolerant_string, url_host, wildcard_pattern
 from factloom.functions.versions import version_key
 from factloom.operators import closure, findings as ops, joins, lattice
 from factloom.session import load
@@ -609,3 +617,25 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
     "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 3) AS norm FROM embeddings",
 }
+
+_ROLES = ", ".join(f"('{c}', '{r}', {ROLE_LEVEL[r]})" for r, cs in CAPABILITY_ROLE.items() for c in cs.split())
+ORACLES["capability_roles"] = f"""
+WITH m(capability, role, role_level) AS (VALUES {_ROLES})
+SELECT required_capability, role, role_level, count(*) AS n FROM findings LEFT JOIN m ON required_capability = capability
+WHERE required_capability IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+def _plain_sql(column: str) -> str:
+    text = f"regexp_replace({column}, '<[^<>]*>', '', 'g')"
+    for reference, char in [*ENTITIES.items(), ("&amp;", "&")]:
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{reference}', '{quoted}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+ORACLES["plugin_text"] = f"""
+SELECT record_id, {_plain_sql("name")} AS name_text,
+  CASE WHEN lower(trim(requires_php)) NOT IN ('false', 'null', 'none', '') THEN requires_php END AS php,
+  nullif(lower(regexp_extract(regexp_extract(author, 'href=["'']([^"'']+)["'']', 1), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+  coalesce(cardinality(icons), 0)::BIGINT AS n_icons
+FROM plugins"""
