@@ -6,19 +6,13 @@ from pyspark.sql import functions as F
 
 from factloom.operators.taint_scan import extract_callables, scan
 from factloom.session import load
+from factloom.sources.excerpts import document_programs
 from factloom.streaming.jobs import latest_states
 
 
 def _excerpts(spark, d):
-    """Fenced program excerpts of each document as files of a program of its own."""
-    fences = F.regexp_extract_all("text", F.lit(r"(?s)(?:```php|<pre><code>)\s*(.*?)(?:```|</code></pre>)"), 1)
-    return load(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("root"), F.posexplode(fences).alias("at", "code")
-    ).select(
-        "root",
-        F.concat(F.lit("excerpt-"), F.col("at").cast("string"), F.lit(".php")).alias("path"),
-        F.concat(F.lit("<?php\n"), F.col("code")).alias("source"),
-    )
+    """Program excerpts of each document, in whatever form they stand, as files of a program of its own."""
+    return document_programs(load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("root"), "text"))
 
 
 def excerpt_callables(spark, d):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from factloom.operators import taint_models as M
 from factloom.operators.taint_interpreter import Interpreter, truth
 from factloom.operators.taint_scan import callables_of, scan
+from factloom.plans.scan_queries import excerpt_callables, excerpt_findings
+from factloom.sources.excerpts import as_program, program_excerpts
 from factloom.sources.php_parser import PhpError, parse_php
 from factloom.sources.readers import archive_files, directory_plugins, payload_findings, program_files, read_payloads, write_findings
 from factloom.streaming.jobs import STATES, job_states, latest_states, next_state, read_upserted, upsert, windowed_counts
@@ -226,3 +228,40 @@ def test_windows_drop_late_events_only_when_streaming(spark, tmp_path):
     df = spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k")
     got = sorted((r.k, r.n) for r in windowed_counts(df, "t", ["k"], "1 hour", "10 minutes").collect())
     assert got == [("a", 2), ("b", 1)]
+
+
+CODE = "function f() {\n    update_option( 'k', $_POST['v'] );\n}"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"Hello.\n\n{CODE}\n\nOnly a role (of the site) may call it; see below.",
+        f"Hello.\r\n{CODE}\r\n* a list\r\n".replace("\r\n", "\n").replace("\n", "\r\n"),
+        "Hello.\n\n" + "\n".join("    " + x for x in CODE.split("\n")) + "\n\nBye.",
+        f"Hello.\n```\n{CODE}\n```\nBye.",
+        f"Hello.\n```php\n{CODE}\n```\nBye.",
+        f"Hello. <pre><code>{CODE}</code></pre> Bye.",
+        f"Hello. <pre class='x'>{CODE}</pre> Bye.",
+        "Hello. &lt;pre&gt;&lt;code&gt;" + CODE.replace("'", "&#039;") + "&lt;/code&gt;&lt;/pre&gt; Bye.",
+        f"<p>Hello.</p>\n<p>{CODE}</p>\n<p>Bye.</p>",
+        f"Hello.\n```php\n{CODE}\n\nA fence that stays open.",
+    ],
+)
+def test_program_text_in_any_form(text):
+    (got,) = program_excerpts(text)
+    assert [x.strip() for x in got.split("\n")] == [x.strip() for x in CODE.split("\n")]
+    assert [c["key"] for c in callables_of("a.php", as_program(got))][0] == "f:f"
+
+
+def test_prose_is_no_program():
+    assert program_excerpts("If (as often) it fails, call me.\nSee page (2); then return the book.\nUse it; for now.\n* get_item\n$5 is cheap") == []
+    assert program_excerpts("```\nnpm install\n```\n    indented prose") == []
+    assert program_excerpts("$a = 1;\ntext\n```php\n$b = 2;\n```\n$x = a( '-&gt;', $b-&gt;c );") == ["$a = 1;", "$b = 2;", "$x = a( '->', $b->c );"]
+
+
+def test_excerpts_of_plain_text_are_scanned(spark, tmp_path):
+    text = "Hello.\n\n$sql = \"SELECT $x\" . $_REQUEST['r'];\n$wpdb->query( $sql );\n\nBye."
+    spark.createDataFrame([(1, text), (2, "no code"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.kind, r.n) for r in excerpt_callables(spark, str(tmp_path)).collect()] == [("file", 1)]
+    assert [(r.rule_id, r.n, r.n_documents) for r in excerpt_findings(spark, str(tmp_path)).collect()] == [(M.SQL, 1, 1)]
