@@ -122,7 +122,7 @@ class Interpreter:
         for name in self.r.get("uses") or []:
             self.env.setdefault(name, Value())
         if self.r["kind"] == "file" and not any("defined(" in t.replace(" ", "") for n, t in self.r["lines"].items() if n <= 24):
-            self.entries.add((self.r["key"], "file", self.r["path"], "unknown"))  # may be requested by itself
+            self.entries.add((self.r.get("name", self.r["key"]), "file", self.r["path"], "unknown"))  # may be requested by itself
         if self.r["class"]:
             self.env["this"] = Value({("R", ()): 0}, type=self.r["class"].lower())
         try:
@@ -464,7 +464,7 @@ class Interpreter:
         return Value()
 
     def e_closure(self, e) -> Value:
-        return Value(type=f"closure:{self.r['path']}:{e[1]}")
+        return Value(type=f"closure:{self.r['path']}:{e[5]}")
 
     def e_assign(self, e) -> Value:
         v = self.eval(e[3])
@@ -481,7 +481,7 @@ class Interpreter:
         args = [self.eval(a) for a in e[3]]
         if not isinstance(e[2], str):
             if isinstance(e[2], tuple) and e[2][0] == "class":
-                return Value(type=e[2][2].lower())
+                return Value(type=nameless(e[2][2], self.r["path"]))
             self.emit(M.USE, "call", self.eval(e[2]), e[1])
             return Value()
         name = self.class_name(e[2])
@@ -494,7 +494,7 @@ class Interpreter:
         return held
 
     def class_name(self, name: str) -> str:
-        low = name.lstrip("\\").rsplit("\\", 1)[-1].lower()
+        low = name.lstrip("\\").lower()
         if low in ("self", "static"):
             return (self.r["class"] or "").lower()
         if low == "parent":
@@ -505,11 +505,11 @@ class Interpreter:
     def callback(self, node) -> str | None:
         """Reference of a callback given as a string, a pair or a closure."""
         if node[0] == "closure":
-            return f"closure:{self.r['path']}:{node[1]}"
+            return f"closure:{self.r['path']}:{node[5]}"
         text = literal(node)
         if text:
             low = text.lstrip("\\").lower()
-            return f"m:{self.class_name(low.split('::')[0])}::{low.split('::')[1]}" if "::" in low else f"f:{low.rsplit(chr(92), 1)[-1]}"
+            return f"m:{self.class_name(low.split('::')[0])}::{low.split('::')[1]}" if "::" in low else f"f:{low}"
         if node[0] == "array" and len(node[2]) == 2 and node[2][1][1] is not None:
             method, owner = literal(node[2][1][1]), node[2][0][1]
             if method and owner is not None:
@@ -572,7 +572,8 @@ class Interpreter:
             if callee.all():
                 self.emit(M.USE, "call", callee, e[1])
             return _union(args)
-        name = e[2].lstrip("\\").rsplit("\\", 1)[-1].lower()
+        full = e[2].lstrip("\\").lower()
+        name = full.rsplit("|", 1)[-1]
         args = [self.eval(a) for a in e[3]]
         line = e[1]
         if name in _CHECKS:
@@ -635,7 +636,7 @@ class Interpreter:
             return out
         if name in M.PROPAGATORS:
             return _union(args)
-        got = self.apply(f"f:{name}", args, None, line)
+        got = self.apply(f"f:{full}", args, None, line)
         return got if got is not None else _union(args)
 
     def hooks(self, name: str, e, args: list[Value]) -> bool:
@@ -735,6 +736,11 @@ class Interpreter:
         return got if got is not None else _union(args)
 
 
+def nameless(cls: str, path: str) -> str:
+    """Class of a definition: one without a name is told by its file as well."""
+    return f"class@{path}:{cls[6:]}".lower() if cls.startswith("class@") else cls.lower()
+
+
 def _union(values: list[Value]) -> Value:
     out = Value()
     for v in values:

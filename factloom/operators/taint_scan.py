@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from factloom.functions.access import access_severity, derive_access, exploitability, minimum_role, role_level, tier_weight
 from factloom.operators import taint_models as M
 from factloom.operators.closure import propagate_sets
-from factloom.operators.taint_interpreter import Interpreter
+from factloom.operators.taint_interpreter import Interpreter, nameless
 from factloom.session import stage
 from factloom.sources.php_parser import PhpError, parse_php
 
@@ -30,7 +30,8 @@ MAX_PASSES, CONTEXT_PASSES = 20, 8
 OPERATIONS = ("include", "read", "open", "delete", "write", "output", "sql", "action", "call")
 #: Lines before a sink within which a local check counts.
 LOCAL_LINES = 48
-_CALLABLE = "root string, key string, kind string, class string, parent string, method string, path string, line int, record binary, error string"
+_COLUMNS = ["root", "key", "name", "kind", "class", "parent", "method", "path", "line", "record", "error"]
+_CALLABLE = "root string, key string, name string, kind string, class string, parent string, method string, path string, line int, record binary, error string"
 
 
 def callables_of(path: str, source: str) -> list[dict]:
@@ -64,11 +65,11 @@ def callables_of(path: str, source: str) -> list[dict]:
         if isinstance(node, tuple) and node and node[0] == "function" and len(node) == 5:
             add(f"f:{node[2].lower()}", "function", node[1], node[3], node[4] or [])
         elif isinstance(node, tuple) and node and node[0] == "class" and len(node) == 7:
-            cls, parent = node[2].lower(), (node[3] or "").lstrip("\\").rsplit("\\", 1)[-1].lower() or None
+            cls, parent = nameless(node[2], path), (node[3] or "").lstrip("\\").lower() or None
             for name, line, params, body, _ in node[4]:
                 add(f"m:{cls}::{name.lower()}", "method", line, params, body, cls, parent, name.lower())
-        elif isinstance(node, tuple) and node and node[0] == "closure" and len(node) == 5:
-            add(f"closure:{path}:{node[1]}", "closure", node[1], node[2], node[4], cls, parent, None, node[3])
+        elif isinstance(node, tuple) and node and node[0] == "closure" and len(node) == 6:
+            add(f"closure:{path}:{node[5]}", "closure", node[1], node[2], node[4], cls, parent, None, node[3])
         for x in node:
             visit(x, cls, parent)
 
@@ -78,7 +79,11 @@ def callables_of(path: str, source: str) -> list[dict]:
 
 
 def extract_callables(files: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """Callables of ``files`` (root, path, source); an unreadable file gives one row of kind ``error``, or fails the job."""
+    """Callables of ``files`` (root, path, source); an unreadable file gives one row of kind ``error``, or fails the job.
+
+    Definitions of one name in a program are all kept: the name is theirs
+    together, the key each one's own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,15 +91,17 @@ def extract_callables(files: DataFrame, fail_fast: bool = False) -> DataFrame:
             for root, path, source in zip(batch["root"], batch["path"], batch["source"]):
                 try:
                     for c in callables_of(path, source or ""):
-                        rows.append((root, c["key"], c["kind"], c["class"], c["parent"], c["method"], path, c["line"], pickle.dumps(c), None))
+                        rows.append((root, c["key"], c["key"], c["kind"], c["class"], c["parent"], c["method"], path, c["line"], pickle.dumps(c), None))
                 except (PhpError, RecursionError) as ex:
                     if fail_fast:
                         raise
-                    rows.append((root, f"error:{path}", "error", None, None, None, path, 0, None, str(ex)[:500]))
-            yield pd.DataFrame(rows, columns=["root", "key", "kind", "class", "parent", "method", "path", "line", "record", "error"])
+                    rows.append((root, f"error:{path}", f"error:{path}", "error", None, None, None, path, 0, None, str(ex)[:500]))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    first = F.row_number().over(Window.partitionBy("root", "key").orderBy("path", "line"))
-    return files.select("root", "path", "source").mapInPandas(run, _CALLABLE).withColumn("__n", first).where("__n = 1").drop("__n")
+    nth = F.row_number().over(Window.partitionBy("root", "name").orderBy("path", "line", "record"))
+    own = F.when(F.col("__n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("#"), F.col("__n").cast("string")))
+    found = files.select("root", "path", "source").mapInPandas(run, _CALLABLE).withColumn("__n", nth)
+    return found.withColumn("key", own).drop("__n")
 
 
 def _interpret(inputs: DataFrame, strict: bool) -> DataFrame:
@@ -108,7 +115,8 @@ def _interpret(inputs: DataFrame, strict: bool) -> DataFrame:
                 for c in sorted(callees if callees is not None else [], key=lambda c: (c["ref"], c["summary"])):
                     known.setdefault(c["ref"], []).append(json.loads(c["summary"]))
                 try:
-                    summary = Interpreter(pickle.loads(record), known, strict).run()
+                    r = pickle.loads(record)
+                    summary = Interpreter(r | {"key": key, "name": r["key"]}, known, strict).run()
                 except RecursionError:
                     summary = {"returns": [], "sinks": [], "stores": [], "calls": [], "checks": [], "entries": [], "registered": [], "reads": [], "type": None, "truncated": True}
                 rows.append((root, key, json.dumps(summary, sort_keys=True)))
@@ -128,18 +136,27 @@ def _facts(summaries: DataFrame, name: str) -> DataFrame:
 def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame) -> DataFrame:
     """(root, ref, callee): what references mean.
 
-    Functions and closures by key; methods by the nearest class of the chain
-    that has them; methods of unknown objects only where the program has one
-    method of that name; hooks by what is registered on them.
+    Functions and closures by name, a function of a namespace before a global
+    one; methods by the nearest class of the chain that has them; methods of
+    unknown objects only where the program has one method of that name; hooks
+    by what is registered on them. A name means all of its definitions.
     """
     refs = refs.select("root", "ref").distinct()
     hooks = refs.where(F.col("ref").startswith("h:")).join(
         registered.select("root", F.col("hook").alias("ref"), F.col("target")), ["root", "ref"]
     )
     direct = refs.where(~F.col("ref").startswith("h:")).withColumn("target", F.col("ref")).unionByName(hooks).distinct()
-    keys = callables.where("kind <> 'error'").select("root", F.col("key").alias("callee"))
-    plain = direct.join(keys, (direct.root == keys.root) & (direct.target == keys.callee)).select(direct.root, "ref", "target", "callee")
-    methods = callables.where("method is not null").select("root", "class", "parent", "method", "key")
+    keys = callables.where("kind <> 'error'").select("root", F.col("name").alias("target"), F.col("key").alias("callee"))
+    either = F.col("target").startswith("f:") & F.col("target").contains("|")
+    spaced = direct.where(either)
+    first = F.when(either, F.replace("target", F.lit("|"), F.lit("\\"))).otherwise(F.col("target"))
+    exact = direct.withColumn("said", F.col("target")).withColumn("target", first).join(keys, ["root", "target"])
+    plain = exact.select("root", "ref", F.col("said").alias("target"), "callee")
+    loose = spaced.join(plain.select("root", "target"), ["root", "target"], "left_anti").select(
+        "root", "ref", F.concat(F.lit("f:"), F.substring_index("target", "|", -1)).alias("target")
+    )
+    plain = plain.unionByName(loose.join(keys, ["root", "target"]).select("root", "ref", "target", "callee"))
+    methods = callables.where("method is not null").select("root", "class", "parent", "method", "name", "key")
     parents = methods.where("parent is not null").select("root", F.col("class").alias("c"), "parent").distinct()
     split = F.regexp_extract("target", "^m:(.*)::", 1), F.regexp_extract("target", "::([^:]*)$", 1)
     open_ = direct.where(F.col("target").startswith("m:")).join(plain.select("root", "target"), ["root", "target"], "left_anti")
@@ -150,7 +167,8 @@ def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame) -> Dat
         hit = up.join(methods.select("root", F.col("class").alias("at"), "method", F.col("key").alias("callee")), ["root", "at", "method"])
         found.append(hit.select("root", "ref", "callee"))
         walk = up.join(hit.select("root", "ref", "target"), ["root", "ref", "target"], "left_anti")
-    only = methods.groupBy("root", "method").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("callee")).where("n = 1")
+    only = methods.groupBy("root", "method").agg(F.count_distinct("name").alias("n"), F.collect_set("key").alias("keys")).where("n = 1")
+    only = only.select("root", "method", F.explode("keys").alias("callee"))
     unknown = open_.where(F.col("target").startswith("m:?")).select("root", "ref", split[1].alias("method"))
     found.append(unknown.join(only, ["root", "method"]).select("root", "ref", "callee"))
     out = found[0]

@@ -2,7 +2,9 @@
 
 Nodes are tuples ``(kind, line, ...)``. The grammar covers functions, classes,
 closures, control flow, calls, arrays, assignment, interpolation, match, and
-inline HTML. What it cannot read raises ``PhpError`` with the line.
+inline HTML. What it cannot read raises ``PhpError`` with the line. Names are
+resolved by namespace and imports: ``a\\b`` is a full name, ``\\b`` a global
+one, and ``a|b`` a function of namespace ``a`` or else a global one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ _TOKEN = re.compile(
   | (?P<single>'(?:[^'\\]|\\.)*')
   | (?P<double>"(?:[^"\\]|\\.)*")
   | (?P<back>`(?:[^`\\]|\\.)*`)
-  | (?P<op>\?->|\?\?=|<=>|\*\*=|\.\.\.|<<=|>>=|===|!==|->|=>|::|\+\+|--|&&|\|\||\?\?|==|!=|<>|<=|>=|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%=<>!.,;:?()\[\]{}&|^~@$])
+  | (?P<op>\?->|\?\?=|<=>|\*\*=|\.\.\.|<<=|>>=|===|!==|->|=>|::|\+\+|--|&&|\|\||\?\?|==|!=|<>|<=|>=|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%=<>!.,;:?()\[\]{}&|^~@$\\])
     """,
     re.X | re.S | re.I,
 )
@@ -84,6 +86,9 @@ _LEFT = {
     "==": 13, "!=": 13, "===": 13, "!==": 13, "<>": 13, "<=>": 13, "<": 14, "<=": 14, ">": 14, ">=": 14,
     ".": 15, "<<": 16, ">>": 16, "+": 17, "-": 17, "*": 18, "/": 18, "%": 18, "instanceof": 20, "**": 21,
 }
+#: Names that stand for a class by where they are used, and types that are no classes.
+_OWN = {"self", "static", "parent"}
+_BUILT_IN = _OWN | set("array bool callable false float int iterable mixed never null object string true void".split())
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", ".=", "%=", "&=", "|=", "^=", "<<=", ">>=", "**=", "??="}
 _INTERPOLATED = re.compile(
     r"\{(\$.+?)\}(?![\]'])|\$\{(\w+)\}|(\$\w+)(?:\[(\$?\w+|'[^']*'|-?\d+)\]|->(\w+))?|\\(?:u\{[0-9a-fA-F]+\}|.)", re.S
@@ -96,6 +101,36 @@ class Parser:
         self.i = 0
         self.depth = 0
         self.namespace = ""
+        self.imports: dict[str, dict[str, str]] = {"class": {}, "function": {}}
+        self.numbered: dict[int, int] = {}
+
+    # Names
+    def qualify(self, name: str) -> str:
+        return f"{self.namespace}\\{name}" if self.namespace else name
+
+    def number(self, n: int) -> str:
+        """A line, with a count where it has several nameless definitions."""
+        self.numbered[n] = self.numbered.get(n, 0) + 1
+        return str(n) if self.numbered[n] == 1 else f"{n}.{self.numbered[n]}"
+
+    def class_name(self, name: str) -> str:
+        if name.lower() in _OWN:
+            return name
+        if name.startswith("\\"):
+            return name
+        first, _, rest = name.partition("\\")
+        if first.lower() == "namespace" and rest:
+            return self.qualify(rest)
+        if first.lower() in self.imports["class"]:
+            return self.imports["class"][first.lower()] + (f"\\{rest}" if rest else "")
+        return self.qualify(name)
+
+    def function_name(self, name: str) -> str:
+        if "\\" in name:
+            return self.class_name(name)
+        if name.lower() in self.imports["function"]:
+            return "\\" + self.imports["function"][name.lower()]
+        return f"{self.namespace}|{name}" if self.namespace else name
 
     # Tokens
     def peek(self, ahead: int = 0) -> tuple[str, str, int]:
@@ -352,23 +387,49 @@ class Parser:
     def _s_namespace(self, n):
         self.next()
         self.namespace = "" if self.at("{") else self.next()[1]
+        self.imports = {"class": {}, "function": {}}
         if self.at("{"):
-            return ("block", n, self.block())
+            body = self.block()
+            self.namespace = ""
+            return ("block", n, body)
+        self.end()
+        return None
+
+    def _s_use(self, n):
+        self.next()
+        kind = self.next()[1].lower() if self.at("function", "const") else "class"
+        while True:
+            path = self.next()[1].lstrip("\\")
+            if self.take("\\") and self.take("{"):
+                while not self.take("}"):
+                    own = self.next()[1].lower() if self.at("function", "const") and self.peek(1)[0] == "name" else kind
+                    self._import(own, f"{path}\\{self.next()[1]}")
+                    self.take(",")
+                    if self.peek()[0] == "end":
+                        raise PhpError(f"line {n}: use isn't closed")
+            else:
+                self._import(kind, path)
+            if not self.take(","):
+                break
         self.end()
         return None
 
+    def _import(self, kind: str, path: str) -> None:
+        alias = self.next()[1] if self.take("as") else path.rsplit("\\", 1)[-1]
+        self.imports.setdefault(kind, {})[alias.lower()] = path
+
     def _skip(self, n):
         while not self.take(";"):
             if self.next()[0] == "end":
                 break
 
-    _s_use = _s_declare = _s_const = _skip
+    _s_declare = _s_const = _skip
 
     def _s_function(self, n):
         self.next()
         self.take("&")
         name = self.next()[1]
-        return ("function", n, name, self.parameters(), self.body())
+        return ("function", n, self.qualify(name), self.parameters(), self.body())
 
     def body(self):
         if self.take(":"):
@@ -381,7 +442,8 @@ class Parser:
         while self.peek()[0] == "name" or self.at("|", "&", "(", ")"):
             if self.at("&") and self.peek(1)[0] == "var" or self.at(")") and "(" not in out:
                 break
-            out += self.next()[1]
+            k, t, _ = self.next()
+            out += self.class_name(t) if k == "name" and t.lower() not in _BUILT_IN else t
         return out
 
     def parameters(self) -> list[tuple]:
@@ -403,7 +465,7 @@ class Parser:
 
     def _s_class(self, n):
         self.next()
-        return self.class_body(n, self.next()[1])
+        return self.class_body(n, self.qualify(self.next()[1]))
 
     _s_interface = _s_trait = _s_enum = _s_class
 
@@ -411,7 +473,7 @@ class Parser:
         parent = None
         while not self.at("{"):
             if self.take("extends"):
-                parent = self.next()[1]
+                parent = self.class_name(self.next()[1])
             elif self.next()[0] == "end":
                 raise PhpError(f"line {n}: class has no body")
         self.need("{")
@@ -526,9 +588,9 @@ class Parser:
         if self.at("class"):
             self.next()
             args = [a for a, _ in self.arguments()] if self.at("(") else []
-            return ("new", n, self.class_body(n, f"class@{n}"), args)
+            return ("new", n, self.class_body(n, f"class@{self.number(n)}"), args)
         if self.peek()[0] == "name":
-            cls: object = self.next()[1]
+            cls: object = self.class_name(self.next()[1])
         elif self.at("("):
             self.next()
             cls = self.expression()
@@ -584,6 +646,8 @@ class Parser:
             if word in ("array", "list") and self.at("("):
                 self.next()
                 return self.items(n, ")")
+            if word == "__namespace__":
+                return ("literal", n, "string", self.namespace)
             if word in ("true", "false", "null"):
                 return ("literal", n, "null" if word == "null" else "bool", word)
             if word == "isset":
@@ -601,14 +665,14 @@ class Parser:
                 params, uses = self.parameters(), []
                 if self.take("use"):
                     uses = [p[0] for p in self.parameters()]
-                return ("closure", n, params, uses, self.body() or [])
+                return ("closure", n, params, uses, self.body() or [], self.number(n))
             if word == "fn":
                 self.take("&")
                 params = self.parameters()
                 if self.take(":"):
                     self.type()
                 self.need("=>")
-                return ("closure", n, params, None, [("return", n, self.expression(4))])
+                return ("closure", n, params, None, [("return", n, self.expression(4))], self.number(n))
             if word == "match" and self.at("("):
                 subject = self.condition()
                 self.need("{")
@@ -674,7 +738,7 @@ class Parser:
                     e = ("prop", n, e, name)
             elif t == "::":
                 self.next()
-                cls = e[2] if e[0] == "name" else e
+                cls = self.class_name(e[2]) if e[0] == "name" else e
                 if self.peek()[0] == "var":
                     name = self.next()[1][1:]
                     e = ("sprop", n, cls, name)
@@ -686,7 +750,7 @@ class Parser:
                     e = ("cconst", n, cls, name)
             elif t == "(" and calls:
                 args = [a for a, _ in self.arguments()]
-                e = ("call", n, e[2] if e[0] == "name" else e, args)
+                e = ("call", n, self.function_name(e[2]) if e[0] == "name" else e, args)
             elif t in ("++", "--"):
                 self.next()
                 e = ("unary", n, t, e)

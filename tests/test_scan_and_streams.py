@@ -265,3 +265,33 @@ def test_excerpts_of_plain_text_are_scanned(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "no code"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.kind, r.n) for r in excerpt_callables(spark, str(tmp_path)).collect()] == [("file", 1)]
     assert [(r.rule_id, r.n, r.n_documents) for r in excerpt_findings(spark, str(tmp_path)).collect()] == [(M.SQL, 1, 1)]
+
+
+def test_namespaces_tell_names_apart(spark):
+    files = {
+        "n": {
+            "a.php": "<?php namespace App\\Front; use App\\Back\\{Page as Other, Tool}; use function App\\Back\\show as reveal;\n"
+            "class Page { function run($v) { echo esc_html($v); } }\nfunction show($v) { echo esc_html($v); }\n"
+            "function go() { show($_GET['a']); reveal($_GET['b']);\n\\show($_GET['c']); only($_GET['d']); (new Page())->run($_GET['e']); (new Other())->run($_GET['f']); namespace\\show($_GET['g']); }\n",
+            "b.php": "<?php namespace App\\Back { class Page { function run($v) { echo $v; } }\nfunction show($v) { echo $v; } }",
+            "c.php": "<?php function show($v) { echo $v; }\nfunction only($v) { echo $v; } add_action('wp_ajax_x', 'App\\Back\\late');",
+            "d.php": "<?php if ($a) { function twice() { echo $_GET['p']; } } else { function twice() { echo $_GET['q']; } } $f = [fn() => 1, fn() => print($_GET['r'])];",
+        }
+    }
+    out = _scan(spark, files).collect()
+    assert sorted((r.path, r.callable, r.source.path) for r in out) == [
+        ("b.php", "f:app\\back\\show", "a.php"),
+        ("b.php", "m:app\\back\\page::run", "a.php"),
+        ("c.php", "f:only", "a.php"),
+        ("c.php", "f:show", "a.php"),
+        ("d.php", "closure:d.php:1.2", "d.php"),
+        ("d.php", "f:twice", "d.php"),
+        ("d.php", "f:twice#2", "d.php"),
+    ]
+
+
+def test_names_of_parser():
+    assert parse_php("<?php namespace A; f(); B\\f(); \\f(); __NAMESPACE__;")[1][2][2] == "A\\B\\f"
+    keys = {c["key"]: c for c in callables_of("a.php", "<?php namespace A; use X\\P; class C extends P { function m(C $c, int $i, ?P $p) {} }")}
+    record = keys["m:a\\c::m"]
+    assert record["parent"] == "x\\p" and [p[1] for p in record["params"]] == ["A\\C", "int", "X\\P"]
