@@ -34,9 +34,9 @@ _COLUMNS = ["root", "key", "name", "kind", "class", "parent", "method", "path",
 _CALLABLE = "root string, key string, name string, kind string, class string, parent string, method string, path string, line int, record binary, error string"
 
 
-def callables_of(path: str, source: str) -> list[dict]:
+def callables_of(path: str, source: str, program: list | None = None) -> list[dict]:
     """All callables of a file: its top level, functions, methods and closures, wherever they are nested."""
-    program = parse_php(source)
+    program = parse_php(source) if program is None else program
     text = source.replace("\r\n", "\n").split("\n")
     found: list[dict] = []
 
@@ -78,19 +78,42 @@ def callables_of(path: str, source: str) -> list[dict]:
     return found
 
 
+def class_parents(program: list, path: str) -> list[tuple[str, str]]:
+    """(class, parent) of all classes of a file that extend one, with or without methods."""
+    out = []
+
+    def visit(node):
+        if isinstance(node, tuple) and len(node) == 7 and node[0] == "class" and node[3]:
+            out.append((nameless(node[2], path), node[3].lstrip("\\").lower()))
+        if isinstance(node, (tuple, list)):
+            for x in node:
+                visit(x)
+
+    visit(program)
+    return out
+
+
 def extract_callables(files: DataFrame, fail_fast: bool = False) -> DataFrame:
     """Callables of ``files`` (root, path, source); an unreadable file gives one row of kind ``error``, or fails the job.
 
     Definitions of one name in a program are all kept: the name is theirs
     together, the key each one's own.
     """
+    return extract_program(files, fail_fast).where("kind <> 'class'")
+
+
+def extract_program(files: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """Rows of ``extract_callables``, and one of kind ``class`` for each class that extends another one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for root, path, source in zip(batch["root"], batch["path"], batch["source"]):
                 try:
-                    for c in callables_of(path, source or ""):
+                    program = parse_php(source or "")
+                    for cls, parent in class_parents(program, path):
+                        rows.append((root, f"class:{cls}", f"class:{cls}", "class", cls, parent, None, path, 0, None, None))
+                    for c in callables_of(path, source or "", program):
                         rows.append((root, c["key"], c["key"], c["kind"], c["class"], c["parent"], c["method"], path, c["line"], pickle.dumps(c), None))
                 except (PhpError, RecursionError) as ex:
                     if fail_fast:
@@ -146,7 +169,7 @@ def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame) -> Dat
         registered.select("root", F.col("hook").alias("ref"), F.col("target")), ["root", "ref"]
     )
     direct = refs.where(~F.col("ref").startswith("h:")).withColumn("target", F.col("ref")).unionByName(hooks).distinct()
-    keys = callables.where("kind <> 'error'").select("root", F.col("name").alias("target"), F.col("key").alias("callee"))
+    keys = callables.where("kind not in ('error', 'class')").select("root", F.col("name").alias("target"), F.col("key").alias("callee"))
     either = F.col("target").startswith("f:") & F.col("target").contains("|")
     spaced = direct.where(either)
     first = F.when(either, F.replace("target", F.lit("|"), F.lit("\\"))).otherwise(F.col("target"))
@@ -157,16 +180,21 @@ def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame) -> Dat
     )
     plain = plain.unionByName(loose.join(keys, ["root", "target"]).select("root", "ref", "target", "callee"))
     methods = callables.where("method is not null").select("root", "class", "parent", "method", "name", "key")
-    parents = methods.where("parent is not null").select("root", F.col("class").alias("c"), "parent").distinct()
+    parents = callables.where("kind = 'class'").select("root", F.col("class").alias("at"), F.col("parent").alias("up")).distinct()
     split = F.regexp_extract("target", "^m:(.*)::", 1), F.regexp_extract("target", "::([^:]*)$", 1)
     open_ = direct.where(F.col("target").startswith("m:")).join(plain.select("root", "target"), ["root", "target"], "left_anti")
     walk = open_.where(~F.col("target").startswith("m:?")).select("root", "ref", "target", split[0].alias("at"), split[1].alias("method"))
     found = [plain.select("root", "ref", "callee")]
-    for _ in range(4):  # parents, and theirs; deeper chains are rare and stay unresolved
-        up = walk.join(parents, (walk.root == parents.root) & (walk["at"] == parents.c)).select(walk.root, "ref", "target", F.col("parent").alias("at"), "method")
-        hit = up.join(methods.select("root", F.col("class").alias("at"), "method", F.col("key").alias("callee")), ["root", "at", "method"])
+    own = methods.select("root", F.col("class").alias("at"), "method", F.col("key").alias("callee"))
+    walk = stage(walk.distinct(), "taint-walk")
+    seen = walk
+    while not walk.isEmpty():  # a class is passed once by each reference, so cycles end
+        up = walk.join(parents, ["root", "at"]).select("root", "ref", "target", F.col("up").alias("at"), "method").distinct()
+        up = stage(up.join(seen, ["root", "ref", "target", "at", "method"], "left_anti"), "taint-walk")
+        hit = stage(up.join(own, ["root", "at", "method"]).select("root", "ref", "target", "callee"), "taint-inherited")
         found.append(hit.select("root", "ref", "callee"))
-        walk = up.join(hit.select("root", "ref", "target"), ["root", "ref", "target"], "left_anti")
+        seen = seen.unionByName(up)
+        walk = stage(up.join(hit, ["root", "ref", "target"], "left_anti"), "taint-walk")
     only = methods.groupBy("root", "method").agg(F.count_distinct("name").alias("n"), F.collect_set("key").alias("keys")).where("n = 1")
     only = only.select("root", "method", F.explode("keys").alias("callee"))
     unknown = open_.where(F.col("target").startswith("m:?")).select("root", "ref", split[1].alias("method"))
@@ -193,7 +221,7 @@ def summarise(callables: DataFrame, max_passes: int = MAX_PASSES, strict: bool =
     Each pass re-interprets the callers of callables whose summary changed, on
     the summaries of the pass before; results don't depend on any order.
     """
-    code = callables.where("kind <> 'error'").select("root", "key", "record")
+    code = callables.where("kind not in ('error', 'class')").select("root", "key", "record")
     none = F.array().cast("array<struct<ref:string,summary:string>>")
     summaries = stage(_interpret(code.withColumn("callees", none), strict), "summaries")
     edges, meaning = _edges(summaries, callables)
@@ -284,7 +312,7 @@ def scan(
     minimum_role, source, sink, callable, entrypoints, finding_key,
     stored_access, score.
     """
-    callables = stage(extract_callables(files.where("path is not null"), fail_fast), "callables")
+    callables = stage(extract_program(files.where("path is not null"), fail_fast), "callables")
     summaries, edges, meaning = summarise(callables, max_passes, strict)
     flow = F.from_json(F.get_json_object("summary", "$.sinks"), "array<string>")
     parsed = summaries.select("root", "key", F.explode(flow).alias("x")).select(

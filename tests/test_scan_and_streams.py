@@ -295,3 +295,12 @@ def test_names_of_parser():
     keys = {c["key"]: c for c in callables_of("a.php", "<?php namespace A; use X\\P; class C extends P { function m(C $c, int $i, ?P $p) {} }")}
     record = keys["m:a\\c::m"]
     assert record["parent"] == "x\\p" and [p[1] for p in record["params"]] == ["A\\C", "int", "X\\P"]
+
+
+def test_inherited_methods_of_long_chains_and_cycles(spark):
+    chain = "".join(f"class C{i} extends C{i + 1} {{}} " for i in range(9))
+    files = {
+        "long": {"a.php": f"<?php {chain} (new C0())->show($_GET['a']); (new C0())->none($_GET['b']);", "b.php": "<?php class C9 { function show($v) { echo $v; } }"},
+        "round": {"a.php": "<?php class A extends B {} class B extends A {} (new A())->show($_GET['a']);"},
+    }
+    assert [(r.root, r.callable, r.source.path) for r in _scan(spark, files).collect()] == [("long", "m:c9::show", "a.php")]
