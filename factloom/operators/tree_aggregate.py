@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import stage
+
 _NODE = "__tree_node"
 
 
@@ -58,16 +60,18 @@ def tree_aggregate(
     df: DataFrame,
     keys: list[str],
     states: Mapping[str, State],
-    chunk_rows: int = 65_536,
+    chunk_rows: int = 262_144,
     fan_in: int = 32,
     chunk_bits: int = 6,
 ) -> DataFrame:
     """Aggregate ``states`` per ``keys`` in rounds of ``fan_in``.
 
     Leaf nodes are chunks of ``chunk_rows`` consecutive rows of one input
-    partition (a partition has up to ``2**chunk_bits`` leaves, the last one
-    taking the rest, which is still combined inside the map task). The number
-    of rounds is the logarithm of the number of leaves to the base ``fan_in``.
+    partition, numbered through the partitions in steps of ``2**chunk_bits``.
+    A partition with more chunks than that goes on into the numbers of the
+    next one: chunks stay of one size and results exact, and a node of that
+    stretch merges a chunk of each. The number of rounds is the logarithm of
+    the number of leaves to the base ``fan_in``.
     A null in a key is a key of its own. An empty input gives no rows. Columns
     of ``df`` that are named like a state are no matter: only keys and states
     leave the first round.
@@ -75,10 +79,8 @@ def tree_aggregate(
     shift = max(1, int(math.log2(fan_in)))
     partition_bits = max(1, math.ceil(math.log2(max(2, df.rdd.getNumPartitions()))))
     row = F.monotonically_increasing_id()
-    chunk = F.least(
-        F.shiftright(row.bitwiseAND(F.lit((1 << 33) - 1)), int(math.log2(chunk_rows))), F.lit((1 << chunk_bits) - 1)
-    )
-    leaf = F.shiftleft(F.shiftright(row, 33), chunk_bits).bitwiseOR(chunk)
+    chunk = F.shiftright(row.bitwiseAND(F.lit((1 << 33) - 1)), int(math.log2(chunk_rows)))
+    leaf = F.shiftleft(F.shiftright(row, 33), chunk_bits) + chunk
     names = {name: f"__tree_{i}" for i, name in enumerate(states)}
     tree = (
         df.withColumn(_NODE, leaf)
@@ -99,16 +101,17 @@ def heavy_keys(fields: list[tuple[str, DataFrame, str]], least_share: float) ->
 
     ``fields`` has a name, a table and a column for each case. Repeated rows
     count; null counts in the total and is no case. An empty table gives no
-    rows. Result: field_name, key_value, n_rows, total_rows.
+    rows. The counts are made once and kept; the totals climb a tree of their
+    own over them. Result: field_name, key_value, n_rows, total_rows.
     """
     keyed = None
     for name, table, column in fields:
         one = table.select(F.lit(name).alias("field_name"), F.col(column).cast("string").alias("key_value"))
         keyed = one if keyed is None else keyed.unionByName(one)
-    counts = tree_aggregate(keyed, ["field_name", "key_value"], {"n_rows": count_state()})
-    totals = counts.groupBy("field_name").agg(F.sum("n_rows").alias("total_rows"))  # one row per field
+    counts = stage(tree_aggregate(keyed, ["field_name", "key_value"], {"n_rows": count_state()}), "key-counts")
+    totals = tree_aggregate(counts, ["field_name"], {"total_rows": sum_state(F.col("n_rows"))})
     return (
-        counts.join(totals, "field_name")
+        counts.join(F.broadcast(totals), "field_name")  # one row for each of ``fields``
         .where(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.col("total_rows") * F.lit(least_share)))
         .select("field_name", "key_value", "n_rows", "total_rows")
     )
