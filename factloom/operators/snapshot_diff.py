@@ -80,7 +80,9 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     snapshot are ignored. A snapshot without records is an empty one: all keys
     of its neighbours were removed before it and added after it. Null batch or
     version is no snapshot, a null key is a key like any other. A key repeated
-    in a snapshot compares by its smallest and largest hash.
+    in a snapshot with different contents is changed if the set of its
+    contents is: distinct hashes are found first, then folded into one, so that
+    order and repeats don't matter and no set is gathered.
 
     Both sides of the full outer join come from one aggregate, whose exchange
     Spark reuses: a side is chosen by a value made in the aggregate, so that
@@ -96,26 +98,27 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     states = (
         records.select("snapshot_id", F.coalesce("record_key", F.lit(_NO_TEXT)).alias("record_key"), "record_hash")
         .join(numbered, "snapshot_id")
+        .groupBy("batch_id", "idx", "record_key", "record_hash")
+        .agg(F.max(span).alias("span"))
         .groupBy("batch_id", "idx", "record_key")
-        .agg(F.min("record_hash").alias("lo"), F.max("record_hash").alias("hi"), F.max(span).alias("span"))
+        .agg(F.bit_xor(F.xxhash64("record_hash")).alias("contents"), F.max("span").alias("span"))
     )
     at, last = F.shiftright("span", 31), F.col("span").bitwiseAND(F.lit((1 << 31) - 1))
     a = states.where(at < last).select(
-        "batch_id", "idx", "record_key", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.lit(True).alias("in_a")
+        "batch_id", "idx", "record_key", F.col("contents").alias("a_contents"), F.lit(True).alias("in_a")
     )
     b = states.where(at > 1).select(
         "batch_id",
         (F.col("idx") - 1).alias("idx"),
         "record_key",
-        F.col("lo").alias("b_lo"),
-        F.col("hi").alias("b_hi"),
+        F.col("contents").alias("b_contents"),
         F.lit(True).alias("in_b"),
     )
     joined = a.join(b, ["batch_id", "idx", "record_key"], "full_outer")
     kind = (
         F.when(F.col("in_a").isNull(), "added")
         .when(F.col("in_b").isNull(), "removed")
-        .when((F.col("a_lo") != F.col("b_lo")) | (F.col("a_hi") != F.col("b_hi")), "changed")
+        .when(~F.col("a_contents").eqNullSafe(F.col("b_contents")), "changed")
     )
     changes = joined.select(
         "batch_id",
