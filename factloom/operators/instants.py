@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import staging_path
+from factloom.session import stage, staging_path
 
 #: English month names by their first three letters.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
@@ -33,8 +33,12 @@ _OFFSET = r"^(?:GMT|UTC)?([+-])(\d{2})(?::?(\d{2}))?(?: *\[[^\]]*\])?$"
 _REGION = r"^\[?([A-Z_]+(?:/[A-Z0-9_+-]+)+)\]?$"
 #: Years for which the abbreviations of a zone are gathered.
 ABBREVIATION_YEARS = (1970, 2037)
-#: A clock table is a small dimension; beyond this many rows it is refused, not collected.
-MAX_CLOCKS = 100_000
+#: A raw value is heavy from this share of all values on; so there are at most this many heavy ones, whatever the input.
+HEAVY_VALUES = 128
+#: Tasks over which the rows of heavy values are spread.
+SALTS = 64
+#: Setting that names a folder in which the dictionary is kept from run to run.
+DICTIONARY_SETTING = "spark.factloom.instants.dir"
 
 
 def zone_abbreviations(zones: list[str], years: tuple[int, int] = ABBREVIATION_YEARS) -> list[tuple[str, str, int]]:
@@ -193,15 +197,16 @@ def utc_micros(raw: Column, zone: Column, date_order: Column, spark: SparkSessio
 class InstantDictionary:
     """A kept table of distinct (raw, zone, date_order) with their instant.
 
-    ``path`` is a folder that all executors share; without one the dictionary
-    lives as long as the driver. Each ``extend`` parses only values that it
+    ``path`` is a folder that all executors share; without one it is what the
+    session names in ``spark.factloom.instants.dir``, and without that the
+    dictionary lives as long as the driver. Each ``extend`` parses only values that it
     doesn't hold and appends them as one more batch. Values that name no
     instant are kept too, with a null, so that they aren't parsed again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or staging_path(spark, "instants")
+        self.path = path or spark.conf.get(DICTIONARY_SETTING, None) or staging_path(spark, "instants")
 
     def read(self) -> DataFrame | None:
         try:
@@ -229,17 +234,18 @@ def normalise_instants(
     ``sources``: name, table with a ``collector_id``, id column, columns to
     read. ``clocks``: collector_id, zone_name, date_order. Rows whose clock is
     unknown or null keep the values that need none. Null and unusable values
-    give no row. Repeated rows of an id with one value count once. Values that
-    make up much of a column are one entry of the dictionary each; rows with
-    them are spread by the join's skew handling.
+    give no row. Repeated rows of an id with one value count once. Values are
+    counted as they are gathered for the dictionary; those that hold a share
+    of 1 / ``HEAVY_VALUES`` of all rows or more (so no more than that many) are
+    broadcast with their instant, and their rows are spread over ``SALTS``
+    tasks or, where they name no instant, dropped before the join.
     Result: source_table, record_id, field_name, utc_us.
     """
     spark = clocks.sparkSession
     clocks = clocks.select("collector_id", F.col("zone_name").alias("zone"), "date_order").dropDuplicates(["collector_id"])
-    listed = clocks.select("zone").distinct().limit(MAX_CLOCKS + 1).collect()
-    if len(listed) > MAX_CLOCKS:
-        raise ValueError(f"more than {MAX_CLOCKS} clocks")
-    zones = [r.zone for r in listed if r.zone]
+    # The zones that exist are some six hundred; names of none of them are not collected.
+    listed = clocks.select("zone").where(F.col("zone").isin(sorted(zoneinfo.available_timezones()))).distinct().collect()
+    zones = [r.zone for r in listed]
     book = InstantDictionary(spark, path)
     rows = None
     for name, table, record, fields in sources:
@@ -259,11 +265,23 @@ def normalise_instants(
                 F.coalesce("date_order", F.lit("")).alias("date_order"),
             )
         )
-        book.extend(one.select("raw", "zone", "date_order"), zones)
         rows = one if rows is None else rows.unionByName(one)
-    usable = book.read().where(F.col("utc_us").isNotNull())
+    keys = ["raw", "zone", "date_order"]
+    counted = stage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "instant-values")
+    book.extend(counted, zones)
+    known = book.read()
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    heavy = counted.where(F.col("n") * HEAVY_VALUES >= total).select(*keys)
+    heavy = known.join(F.broadcast(heavy), keys).select(*keys, F.col("utc_us").alias("heavy_us"), F.lit(True).alias("heavy"))
+    usable = known.where(F.col("utc_us").isNotNull()).withColumn("salt", F.lit(0)).hint("merge")
+    is_heavy = F.coalesce("heavy", F.lit(False))
+    salt = F.when(is_heavy, 1 + F.pmod(F.xxhash64("source_table", "record_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     return (
-        rows.join(usable.hint("merge"), ["raw", "zone", "date_order"])
-        .select("source_table", "record_id", "field_name", "utc_us")
+        rows.join(F.broadcast(heavy), keys, "left")
+        .where(~is_heavy | F.col("heavy_us").isNotNull())
+        .withColumn("salt", salt)
+        .join(usable, [*keys, "salt"], "left")
+        .select("source_table", "record_id", "field_name", F.coalesce("heavy_us", "utc_us").alias("utc_us"))
+        .where(F.col("utc_us").isNotNull())
         .distinct()
     )

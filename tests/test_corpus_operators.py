@@ -34,6 +34,12 @@ def test_tree_rounds_limit_fan_in(spark):
     assert plan.count("Exchange hashpartitioning") >= 5
 
 
+def test_partitions_with_more_chunks_than_numbers(spark):
+    df = spark.range(3000).withColumn("k", (F.col("id") % 3).cast("string")).repartition(3)
+    got = tree_aggregate(df, ["k"], {"n": count_state(), "m": max_state(F.col("id"))}, chunk_rows=8, fan_in=2, chunk_bits=1).collect()
+    assert sorted(tuple(r) for r in got) == [("0", 1000, 2997), ("1", 1000, 2998), ("2", 1000, 2999)]
+
+
 def test_tree_of_nothing_and_clashing_columns(spark):
     df = spark.createDataFrame([], "k string, n int, __x int")
     assert tree_aggregate(df, ["k"], {"n": count_state()}).count() == 0
@@ -89,6 +95,12 @@ def test_snapshot_changes(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_a_key_with_several_contents_compares_by_all_of_them(spark):
+    snapshots = [("s1", "b", "1", 0), ("s2", "b", "2", 0), ("s3", "b", "3", 0)]
+    records = [("s1", "k", h, 0) for h in (1, 5, 9)] + [("s2", "k", h, 0) for h in (9, 9, 5, 1, 5)] + [("s3", "k", h, 0) for h in (1, 6, 9)]
+    assert _snapshots(spark, snapshots, records) == [("b", "2", "3", "k", "changed")]
+
+
 def test_snapshots_of_nothing(spark):
     assert _snapshots(spark, [], []) == []
     assert _snapshots(spark, [("s1", "b", "1", 0)], []) == []
@@ -188,6 +200,22 @@ def test_dictionary_parses_each_value_once(spark, clocks, tmp_path):
     assert book.read().count() == 3
 
 
+def test_values_that_hold_most_rows(spark, clocks):
+    values = [("2024-01-01 10:00", 0)] * 300 + [("0000-00-00", 0)] * 300 + [(f"2024-02-{i % 28 + 1:02d}", 0) for i in range(56)]
+    got = _instants(spark, clocks, values)
+    assert sorted(got) == [*range(300), *range(600, 656)] and {got[i] for i in range(300)} == {1704099600000000}
+
+
+def test_dictionary_in_the_folder_of_the_setting(spark, clocks, tmp_path):
+    spark.conf.set("spark.factloom.instants.dir", f"file://{tmp_path}/kept")
+    try:
+        for value in ("2024-01-01", "2024-01-02"):
+            assert len(_instants(spark, clocks, [(value, 0), ("n/a", 0)])) == 1
+        assert InstantDictionary(spark).read().count() == 3
+    finally:
+        spark.conf.unset("spark.factloom.instants.dir")
+
+
 def test_instants_of_nothing(spark, clocks):
     assert _instants(spark, clocks.limit(0), []) == {}
     assert _instants(spark, clocks.limit(0), [("2024-01-01", 0)]) == {0: 1704067200000000}
