@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.severity import SEVERITIES, severity_rank
+from factloom.functions.severity import severity_rank
 from factloom.llm.group_topn import group_topn
 from factloom.llm.mixing import mix_report, mix_sources
 from factloom.llm.name_link import linked_slugs
@@ -25,7 +25,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         load(spark, d, "findings"),
         ["slug", "rule_id"],
         severity_rank(F.col("severity")),
-        len(SEVERITIES),
         "finding_id",
         TOP_N,
     )
