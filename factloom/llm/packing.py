@@ -117,6 +117,7 @@ def pack_group(sizes: list[int], capacity: int, full: float = FULL) -> list[list
 
 def _pack_round(items: DataFrame, label: str, full: float) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["n_tokens", "item_id"], ascending=[False, True], ignore_index=True)
         sizes = [int(x) for x in group["n_tokens"]]
         capacity = int(group["capacity_tokens"].iloc[0])
         number = np.zeros(len(sizes), dtype=np.int64)
@@ -153,8 +154,9 @@ def pack_documents(
     fixed list, collected and refused beyond 1,000; null, zero or negative
     capacities are no packs). Null and empty texts are no items. A text beyond
     the capacity is divided into pieces that fill a container each and a rest.
-    Rows repeated under one doc_id are items of their own. An empty table gives
-    no rows. Result: pack_id, bin_id, doc_id, piece, start_token, n_tokens,
+    Rows repeated under one doc_id are items of their own, numbered by their
+    doc_id, text and count, so the containers don't depend on how files are
+    split. An empty table gives no rows. Result: pack_id, bin_id, doc_id, piece, start_token, n_tokens,
     capacity_tokens.
     """
     sizes = [
@@ -165,9 +167,14 @@ def pack_documents(
         raise ValueError("more than 1000 packs")
     columns = ["pack_id", "bin_id", "doc_id", "piece", "start_token", "n_tokens", "capacity_tokens"]
     counted = stage(
-        with_tokens(documents.where(F.col("text") != "").select("doc_id", "text"), path=vocabulary)
+        with_tokens(
+            documents.where(F.col("text") != "").select("doc_id", "text", F.xxhash64("text").alias("text_hash")), path=vocabulary
+        )
         .where(F.col("n_tokens") > 0)
-        .withColumn("item_id", F.monotonically_increasing_id()),
+        .groupBy("doc_id", "text_hash", "n_tokens")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("doc_id", "n_tokens", "text_hash", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+        .select("doc_id", "n_tokens", F.xxhash64("doc_id", "text_hash", "copy").alias("item_id")),
         "token-counts",
     )
     wanted = F.array(*(F.struct(F.lit(p).alias("pack_id"), F.lit(c).cast("bigint").alias("capacity_tokens")) for p, c in sizes))
