@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,14 @@ def test_packs_whole_texts(spark):
     assert all(r.n_bins >= r.least_bins and r.largest_bin <= r.capacity_tokens for r in report)
 
 
+def test_packs_do_not_depend_on_how_rows_are_split(spark):
+    rng = random.Random(8)
+    rows = [(i % 130, "word " * rng.randrange(1, 60), "s") for i in range(200)] + [(7, "same", "s")] * 3
+    packs = spark.createDataFrame([(1, 64)], "pack_id int, capacity_tokens int")
+    one, other = (pack_documents(_docs(spark, rows).repartition(n, "text"), packs, group_items=40).collect() for n in (1, 6))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other)) and len(one) == len(set(map(tuple, one)))
+
+
 def test_packs_nothing(spark):
     packs = spark.createDataFrame([(1, 64)], "pack_id int, capacity_tokens int")
     assert pack_documents(_docs(spark, []), packs).count() == 0
@@ -73,6 +82,36 @@ def test_flow_prefers_unused_and_respects_repeats():
     assert largest_budget({("a",): 100, ("b",): 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 3}) == 61
 
 
+@settings(max_examples=60, deadline=None)
+@given(
+    st.dictionaries(st.sets(st.sampled_from("abcd"), min_size=1).map(lambda s: tuple(sorted(s))), st.integers(1, 60), min_size=1, max_size=6),
+    st.dictionaries(st.sampled_from("abcd"), st.tuples(st.integers(0, 90), st.integers(1, 3)), min_size=1),
+)
+def test_flow_is_the_largest_and_the_cheapest(patterns, wanted):
+    quotas, repeats = {s: q for s, (q, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}
+    total, flows = route(patterns, quotas, repeats)
+    most = {p: t * min(repeats[s] for s in p if s in quotas) for p, t in patterns.items() if any(s in quotas for s in p)}
+    subsets = [set(x) for k in range(len(quotas) + 1) for x in combinations(quotas, k)]
+    assert total == min(sum(quotas[s] for s in quotas if s not in x) + sum(m for p, m in most.items() if x & set(p)) for x in subsets)
+    used = {p: sum(x for (q, _), x in flows.items() if q == p) for p in most}
+    assert sum(used.values()) == total and all(used[p] <= most[p] for p in used)
+    once, _ = route(patterns, quotas, {s: 1 for s in quotas})
+    assert sum(min(used[p], patterns[p]) for p in used) == once  # first uses go as far as they can
+    shares = {s: 1 / len(quotas) for s in quotas if any(s in p for p in patterns)}
+    if shares:
+        size = largest_budget(patterns, shares, repeats)
+        met = [route(patterns, {s: int(b * w) for s, w in shares.items()}, repeats)[0] == sum(int(b * w) for w in shares.values()) for b in (size, size + len(quotas))]
+        assert met == [True, False]
+
+
+def test_long_documents_at_the_end_of_a_stretch_are_made_up(spark):
+    rows = [(i, f"text {i} " + "word " * (900 if i % 9 == 0 else 3 + i % 40), "ab"[i % 2]) for i in range(200)]
+    targets = spark.createDataFrame([(1, "a", 0.5, 2), (1, "b", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    got = mix_sources(_docs(spark, rows), targets, budget=9_001)
+    report = mix_report(got, targets).collect()
+    assert all(abs(r.actual_share - 0.5) < 0.002 and r.most_uses <= r.max_repeats for r in report)
+
+
 def test_mixes(spark):
     rows = [(i, f"word number {i} here", "a") for i in range(300)] + [(1000 + i, f"word number {i} here", "b") for i in range(60)]
     rows += [(2000 + i, f"other text {i} of c", "c") for i in range(20)] + [(2100, "other text 1 of c", "c"), (3000, None, "a"), (3001, "", "a"), (3002, "no source", None)]
