@@ -32,6 +32,8 @@ ROLE_LEVEL = {
     "administrator": 5,
     "super_admin": 6,
 }
+#: Fixed value: role of a capability that isn't listed.
+UNKNOWN_ROLE = "unknown_role"
 #: Lowest default role that holds a capability.
 CAPABILITY_ROLE = {
     "subscriber": "read",
@@ -69,8 +71,9 @@ def access_severity(access: Column) -> Column:
 
 
 def minimum_role(capability: Column) -> Column:
-    """Lowest role with a capability; null for unknown ones."""
-    return F.try_element_at(_map({c: r for r, cs in CAPABILITY_ROLE.items() for c in cs.split()}), capability)
+    """Lowest role with a capability; ``unknown_role`` for one that isn't listed, null for null."""
+    known = _map({c: r for r, cs in CAPABILITY_ROLE.items() for c in cs.split()})
+    return F.when(capability.isNotNull(), F.coalesce(F.try_element_at(known, capability), F.lit(UNKNOWN_ROLE)))
 
 
 def role_level(role: Column) -> Column:

@@ -8,6 +8,8 @@ through the summaries of the callees; no other callable is looked into.
 
 from __future__ import annotations
 
+from factloom.functions import sql_text
+from factloom.operators import taint_guards as G
 from factloom.operators import taint_models as M
 
 PERSISTENT, PATH_SAFE, HTML_SAFE, HTML_UNSAFE, NUMERIC = 1, 2, 4, 8, 16
@@ -17,7 +19,7 @@ _FUNCTIONS = M.by_name(M.FUNCTION_SINKS, 2)
 _METHODS = M.by_name(M.METHOD_SINKS, 2)
 _READS = M.by_name(M.STORE_READS, 0)
 _WRITES = M.by_name(M.STORE_WRITES, 0)
-_CHECKS = {n: kind for kind, names in M.CHECKS.items() for n in names.split()}
+_CHECKS = {n for names in M.CHECKS.values() for n in names.split()}
 
 
 class Value:
@@ -113,6 +115,18 @@ class Interpreter:
         self.entries: set[tuple] = set()
         self.registered: set[tuple] = set()
         self.reads: set[tuple] = set()
+        self.props: set[tuple] = set()
+        self.given: list[tuple] = []
+        self.constants: dict[str, str] = record.get("constants") or {}
+        self.real_paths: set[str] = set()
+        self.assigned: dict[str, tuple] = {}
+        self.looked: set[str] = set()
+        self.sanitized = G.sanitized_returns(record["body"])
+        self.record_read = any(
+            isinstance(name, str) and M.reads_records(name)
+            for n in G.nodes(record["body"])
+            for name in [n[2] if n[0] == "call" else n[3] if n[0] in ("method", "scall") else None]
+        )
 
     # Results
     def run(self) -> dict:
@@ -125,6 +139,9 @@ class Interpreter:
             self.entries.add((self.r.get("name", self.r["key"]), "file", self.r["path"], "unknown"))  # may be requested by itself
         if self.r["class"]:
             self.env["this"] = Value({("R", ()): 0}, type=self.r["class"].lower())
+        own = (self.r["class"] or "").lower() or None
+        guards = G.Guards(self.r["body"], own, self.class_name, self.from_request)
+        self.checks, self.assigned = guards.found, guards.assigned
         try:
             self.walk(self.r["body"])
         except Stop:
@@ -139,8 +156,49 @@ class Interpreter:
             "registered": sorted(self.registered),
             "reads": sorted(self.reads),
             "type": self.returns.type,
+            "text": self.returns.text,
+            "props": sorted(self.props),
+            "given": sorted({(_plain_text(k), f, *place) for k, f, place in self.given}),
         }
 
+    @staticmethod
+    def from_request(node) -> bool:
+        """Whether an expression names request data itself."""
+        return any(n[0] == "var" and n[2] in M.SUPERGLOBALS for n in G.nodes(node))
+
+    def text(self, node) -> str | None:
+        """Text of an expression where it is certain: literals, joined ones, constants, and variables that hold such."""
+        if not isinstance(node, tuple):
+            return None
+        if node[0] == "concat" or (node[0] == "binary" and node[2] == "."):
+            parts = [self.text(p) for p in (node[2] if node[0] == "concat" else node[3:5])]
+            return None if None in parts else "".join(parts)
+        if node[0] == "name" and node[2] not in ("__DIR__", "__FILE__"):
+            return self.constants.get(constant_name(node[2]))
+        if node[0] == "cconst" and isinstance(node[2], str) and isinstance(node[3], str):
+            return self.constants.get(f"{self.class_name(node[2])}::{node[3]}")
+        if node[0] == "var":
+            held = self.env.get(node[2])
+            return held.text if held is not None and not held.origins else None
+        if node[0] == "call" and isinstance(node[2], str):
+            known = self.summaries.get("f:" + node[2].lstrip("\\").lower()) or []
+            texts = {s.get("text") for s in known}
+            return texts.pop() if len(texts) == 1 else None
+        return literal(node)
+
+    def pattern(self, node) -> str | None:
+        """Text with ``{}`` for what isn't certain; None where nothing is."""
+        if isinstance(node, tuple) and (node[0] == "concat" or (node[0] == "binary" and node[2] == ".")):
+            parts = [self.pattern(p) or "{}" for p in (node[2] if node[0] == "concat" else node[3:5])]
+            joined = "".join(parts).replace("{}{}", "{}")
+            return joined if joined.replace("{}", "") else None
+        known = self.text(node)
+        if known is None and isinstance(node, tuple) and node[0] == "var" and node[2] in self.assigned and node[2] not in self.looked:
+            self.looked.add(node[2])
+            known = self.pattern(self.assigned[node[2]])
+            self.looked.discard(node[2])
+        return known
+
     def place(self, line: int) -> tuple:
         return (self.r["path"], line, self.r["lines"].get(line, ""))
 
@@ -148,6 +206,14 @@ class Interpreter:
         for key, flags in value.all().items():
             self.emit_one(rule, op, key, flags, self.place(line), self.r["key"])
 
+    def output(self, value: Value, line: int) -> None:
+        """What is shown: stored values, and request values; those that choose records have a rule of their own."""
+        for key, flags in value.all().items():
+            if self.record_read:
+                self.emit_one(M.RECORD, "output", key, flags, self.place(line), self.r["key"])
+            if not self.record_read or flags & PERSISTENT or key[0] != "S":
+                self.emit_one(M.REFLECTED, "output", key, flags, self.place(line), self.r["key"])
+
     def emit_one(self, rule: str, op: str, key: tuple, flags: int, sink: tuple, holder: str) -> None:
         """Keep a flow unless what is known of it makes it harmless; parameters stay open."""
         concrete = key[0] == "S"
@@ -155,7 +221,7 @@ class Interpreter:
             return
         if op in ("read", "open", "delete", "include") and flags & (PATH_SAFE | NUMERIC):
             return
-        if op == "output":
+        if op == "output" and rule != M.RECORD:
             unsafe = bool(flags & HTML_UNSAFE)
             if flags & PERSISTENT:
                 if flags & HTML_SAFE and not unsafe:
@@ -205,22 +271,38 @@ class Interpreter:
 
     def s_echo(self, s) -> None:
         for e in s[2]:
-            self.emit(M.REFLECTED, "output", self.eval(e), s[1])
+            self.output(self.eval(e), s[1])
 
     def s_if(self, s) -> None:
         arms, other = s[2], s[3]
         bodies = []
         for cond, body in arms:
-            known = truth(cond)
+            known = truth(cond, self.text)
             self.eval(cond)
             if known is False:
                 continue
-            bodies.append(body)
+            safe = G.safe_in_branch(cond, self.real_paths, self.text)
+            bodies.append(self.proved(safe, body) if safe else body)
             if known is True:
                 break
         else:
             bodies.append(other or [])
         self.branches(bodies)
+        if len(arms) == 1 and not other and G.aborts(arms[0][1]):
+            if name := G.equals_its_realpath(arms[0][0], G.DIFFERENT):
+                self.mark_paths({name})
+
+    def mark_paths(self, names: set[str]) -> None:
+        for name in names:
+            if name in self.env:
+                self.env[name] = self.env[name].flat(PATH_SAFE)
+
+    def proved(self, names: set[str], body):
+        def run():
+            self.mark_paths(names)
+            self.walk(body)
+
+        return run
 
     def s_while(self, s) -> None:
         self.eval(s[2])
@@ -263,8 +345,12 @@ class Interpreter:
         if s[2] is not None:
             v = self.eval(s[2])
             kind = v.type
+            if s[2][0] == "var" and s[2][2] in self.sanitized:
+                v = v.flat(PATH_SAFE)
+            self.given += [(k, f, self.place(s[1])) for k, f in v.all().items()]
             self.returns = self.returns.join(v)
             self.returns.type = kind
+            self.returns.text = self.text(s[2]) if len(self.r["body"]) == 1 else None
         raise Stop
 
     def s_throw(self, s) -> None:
@@ -299,6 +385,7 @@ class Interpreter:
         kind = target[0]
         if kind == "var":
             self.env[target[2]] = value
+            self.real_paths.discard(target[2])
         elif kind == "array":
             for i, (key, item) in enumerate(target[2]):
                 if item is not None:
@@ -307,6 +394,8 @@ class Interpreter:
             base, name = target[2], self.key(target[3])
             old = self.eval(base)
             new = Value(old.origins, old.fields, old.type)
+            if kind == "prop" and base[0] == "var" and base[2] == "this" and value.type and isinstance(target[3], str):
+                self.props.add((f"{(self.r['class'] or '').lower()}->{name}", value.type))
             if name == "*" or target[3] is None:
                 new.fields["*"] = new.fields["*"].join(value) if "*" in new.fields else value
             else:
@@ -319,7 +408,7 @@ class Interpreter:
     def key(self, node) -> str:
         if isinstance(node, str):
             return node
-        return literal(node) or "*" if node is not None else "*"
+        return self.text(node) or "*" if node is not None else "*"
 
     # Expressions
     def eval(self, e) -> Value:
@@ -351,7 +440,15 @@ class Interpreter:
         return self.eval(e[2]).at(self.key(e[3]))
 
     def e_prop(self, e) -> Value:
-        return self.eval(e[2]).at(self.key(e[3]))
+        out = self.eval(e[2]).at(self.key(e[3]))
+        if out.type is None and e[2][0] == "var" and e[2][2] == "this" and isinstance(e[3], str):
+            out = Value(out.origins, out.fields, f"?{(self.r['class'] or '').lower()}->{e[3]}", out.text)
+        return out
+
+    def e_name(self, e) -> Value:
+        return Value(text=self.text(e))
+
+    e_cconst = e_name
 
     def e_sprop(self, e) -> Value:
         return self.env.get(f"::{e[2]}::{e[3]}", Value())
@@ -425,7 +522,7 @@ class Interpreter:
         return Value()
 
     def e_print(self, e) -> Value:
-        self.emit(M.REFLECTED, "output", self.eval(e[2]), e[1])
+        self.output(self.eval(e[2]), e[1])
         return Value()
 
     def e_clone(self, e) -> Value:
@@ -439,7 +536,7 @@ class Interpreter:
 
     def e_exit(self, e) -> Value:
         for a in e[2]:
-            self.emit(M.REFLECTED, "output", self.eval(a), e[1])
+            self.output(self.eval(a), e[1])
         raise Stop
 
     def e_eval(self, e) -> Value:
@@ -453,7 +550,7 @@ class Interpreter:
 
     def e_include(self, e) -> Value:
         self.emit(M.INCLUDE, "include", self.eval(e[2]), e[1])
-        if text := literal(e[2]):
+        if text := literal(e[2]) or self.text(e[2]):
             parts: list[str] = self.r["path"].split("/")[:-1]
             for part in text.split("/"):
                 if part == "..":
@@ -474,7 +571,12 @@ class Interpreter:
             v = self.eval(e[2]).join(v)
         elif e[4] != "=":
             v = self.eval(e[2]).flat(NUMERIC | HTML_SAFE).join(v.flat(NUMERIC | HTML_SAFE))
+        if e[4] == "=" and e[2][0] == "var":
+            if v.text is None and (text := self.text(e[3])) is not None:
+                v = Value(v.origins, v.fields, v.type, text)
         self.assign(e[2], v)
+        if e[4] == "=" and e[2][0] == "var" and e[3][0] == "call" and isinstance(e[3][2], str) and G.short(e[3][2]) == "realpath":
+            self.real_paths.add(e[2][2])
         return v
 
     def e_new(self, e) -> Value:
@@ -482,7 +584,7 @@ class Interpreter:
         if not isinstance(e[2], str):
             if isinstance(e[2], tuple) and e[2][0] == "class":
                 return Value(type=nameless(e[2][2], self.r["path"]))
-            self.emit(M.USE, "call", self.eval(e[2]), e[1])
+            self.emit(M.USE, "dynamic", self.eval(e[2]), e[1])
             return Value()
         name = self.class_name(e[2])
         if name == "rawsql" and args:
@@ -506,15 +608,15 @@ class Interpreter:
         """Reference of a callback given as a string, a pair or a closure."""
         if node[0] == "closure":
             return f"closure:{self.r['path']}:{node[5]}"
-        text = literal(node)
+        text = self.text(node)
         if text:
             low = text.lstrip("\\").lower()
             return f"m:{self.class_name(low.split('::')[0])}::{low.split('::')[1]}" if "::" in low else f"f:{low}"
         if node[0] == "array" and len(node[2]) == 2 and node[2][1][1] is not None:
-            method, owner = literal(node[2][1][1]), node[2][0][1]
+            method, owner = self.pattern(node[2][1][1]), node[2][0][1]
             if method and owner is not None:
-                if literal(owner):
-                    return f"m:{self.class_name(literal(owner))}::{method.lower()}"
+                if self.text(owner):
+                    return f"m:{self.class_name(self.text(owner))}::{method.lower()}"
                 if owner[0] == "cconst":
                     return f"m:{self.class_name(owner[2]) if isinstance(owner[2], str) else '?'}::{method.lower()}"
                 kind = self.eval(owner).type
@@ -570,18 +672,23 @@ class Interpreter:
                 got = self.apply(callee.type, args, None, e[1])
                 return got if got is not None else _union(args)
             if callee.all():
-                self.emit(M.USE, "call", callee, e[1])
+                self.emit(M.USE, "dynamic", callee, e[1])
+            if (named := self.pattern(e[2])) and "{}" in named:
+                self.apply("f:" + named.lstrip("\\").lower(), args, None, e[1])
             return _union(args)
         full = e[2].lstrip("\\").lower()
         name = full.rsplit("|", 1)[-1]
         args = [self.eval(a) for a in e[3]]
         line = e[1]
         if name in _CHECKS:
-            self.checks.add((_CHECKS[name], literal(e[3][0]) or "" if e[3] else "", line))
             return Value()
         if name in ("wp_die", "die"):
             if args:
-                self.emit(M.REFLECTED, "output", args[0], line)
+                self.output(args[0], line)
+            raise Stop
+        if name in M.JSON_OUTPUT:
+            if args and self.record_read:
+                self.output_records(args[0], line)
             raise Stop
         if self.hooks(name, e, args):
             return args[1] if name.startswith("apply_filters") and len(args) > 1 else Value()
@@ -595,31 +702,45 @@ class Interpreter:
             for k, v in args[0].fields.items():
                 self.env[k] = v
             return Value()
+        if name in M.DYNAMIC_CALLS and args and not (e[3] and self.callback(e[3][0])):
+            self.emit(M.USE if e[3][0][0] == "array" else M.RENDER, "dynamic", args[0], line)
+        if name in M.ROLE_FUNCTIONS and args:
+            self.grant(args[0].at(M.ROLE_KEY), e[3][0], line)
+            return Value()
+        if name in M.RIGHTS_META_FUNCTIONS and len(args) > 2 and (self.text(e[3][1]) or "").lower().strip("\"'").endswith(M.RIGHTS_META):
+            self.emit(M.PRIVILEGE, "call", args[2], line)
+            return Value()
+        if name in ("array_map", "array_walk") and len(args) > 1 and (self.text(e[3][0 if name == "array_map" else 1]) or "") in ("unserialize", "maybe_unserialize"):
+            self.emit(M.OBJECT, "call", args[1 if name == "array_map" else 0], line)
+        if name in M.DOWNLOADS and self.record_read and self.attachment_before(line):
+            for key in {k for v in self.env.values() for k in v.all()}:
+                self.emit_one(M.ACTION, "action", key, 0, self.place(line), self.r["key"])
         for rule, op, _, positions in _FUNCTIONS.get(name, []):
             if rule == M.OBJECT and len(e[3]) > 1 and "allowed_classes" in repr(e[3][1]) and "'false'" in repr(e[3][1]):
                 continue
-            if rule == M.USE and op == "call" and name.startswith("call_user_func") and self.callback(e[3][0] if e[3] else ("none",)):
-                continue
             for i in positions:
                 if i < len(args):
-                    self.emit(rule, op, args[i], line)
+                    if op == "output":
+                        self.output(args[i], line)
+                    else:
+                        self.emit(rule, op, args[i], line)
         if name in M.LINK_FIRST and args:
             self.emit(M.SQL, "sql", args[1 if len(args) > 1 else 0], line)
-        if name.startswith("call_user_func") and e[3] and (ref := self.callback(e[3][0])):
+        if name in M.DYNAMIC_CALLS and e[3] and (ref := self.callback(e[3][0])):
             got = self.apply(ref, args[1:], None, line)
             return got if got is not None else _union(args[1:])
-        if name in M.REQUEST_FUNCTIONS or (name == "file_get_contents" and e[3] and literal(e[3][0]) == "php://input"):
+        if name in M.REQUEST_FUNCTIONS or (name in M.BODY_READERS and e[3] and self.text(e[3][0]) == "php://input"):
             return Value({("S", *self.place(line)): 0})
         if name in M.REMOTE_FUNCTIONS:
             return Value({("S", *self.place(line)): 0})
         for _, family, key_at, value_at in _WRITES.get(name, []):
             if value_at < len(args):
-                key = literal(e[3][key_at]) or "*"
+                key = self.text(e[3][key_at]) or "*"
                 for k, f in args[value_at].all().items():
                     self.store(family, key, k, f, self.place(line))
             return Value()
         for _, family, key_at in _READS.get(name, []):
-            key = literal(e[3][key_at]) if key_at < len(e[3]) else None
+            key = self.text(e[3][key_at]) if key_at < len(e[3]) else None
             self.reads.add((family, key or "*", line))
             return Value({("S", *self.place(line)): PERSISTENT})
         if name in M.HTML_UNSAFE:
@@ -643,22 +764,22 @@ class Interpreter:
         """Registrations and dispatches of hooks, routes, shortcodes and pages."""
         given = e[3]
         if name in ("add_action", "add_filter") and len(given) > 1:
-            hook, ref = literal(given[0]), self.callback(given[1])
+            hook, ref = self.pattern(given[0]), self.callback(given[1])
             if hook and ref:
                 self.registered.add((f"h:{hook}", ref))
-                for start, kind, tier in M.ENTRY_HOOKS:
+                for start, kind, tier in M.ENTRY_HOOKS if name == "add_action" else ():
                     if hook == start or (start.endswith("_") and hook.startswith(start)):
                         self.entries.add((ref, kind, hook, tier))
                         break
             return True
         if name in ("do_action", "apply_filters", "do_action_ref_array", "apply_filters_ref_array") and given:
-            hook = literal(given[0])
+            hook = self.pattern(given[0])
             if hook:
                 self.apply(f"h:{hook}", args[1:], None, e[1])
             return True
         if name == "add_shortcode" and len(given) > 1:
             if ref := self.callback(given[1]):
-                self.entries.add((ref, "shortcode", literal(given[0]) or "", "authenticated"))
+                self.entries.add((ref, "shortcode", self.text(given[0]) or "", "unauthenticated"))
             return True
         if name in ("add_menu_page", "add_submenu_page", "add_options_page") and given:
             for a in given:
@@ -667,12 +788,12 @@ class Interpreter:
             return True
         if name == "add_meta_box" and len(given) > 2:
             if ref := self.callback(given[2]):
-                self.entries.add((ref, "meta_box", literal(given[0]) or "", "authenticated"))
+                self.entries.add((ref, "admin_page", self.text(given[0]) or "", "authenticated"))
             return True
         if name == "register_block_type" and len(given) > 1 and given[1][0] == "array":
             for k, v in given[1][2]:
                 if isinstance(k, tuple) and literal(k) == "render_callback" and (ref := self.callback(v)):
-                    self.entries.add((ref, "block", literal(given[0]) or "", "unauthenticated"))
+                    self.entries.add((ref, "block", self.text(given[0]) or "", "unauthenticated"))
             return True
         if name == "register_rest_route" and len(given) > 2 and given[2][0] == "array":
             routes = [i for _, i in given[2][2] if i is not None and i[0] == "array" and any(literal(k) == "callback" for k, _ in i[2] if isinstance(k, tuple))]
@@ -682,7 +803,7 @@ class Interpreter:
                 guard = named.get("permission_callback")
                 open_ = guard is None or literal(guard) == "__return_true" or guard == ("literal", guard[1], "bool", "true")
                 if ref:
-                    path = (literal(given[0]) or "") + (literal(given[1]) or "")
+                    path = M.join_route(self.text(given[0]) or "", self.text(given[1]) or "")
                     self.entries.add((ref, "rest", path, "unauthenticated" if open_ else "permission_callback"))
                     if guard is not None and (other := self.callback(guard)):
                         self.registered.add((f"g:{ref}", other))
@@ -693,7 +814,9 @@ class Interpreter:
         owner = self.eval(e[2])
         args = [self.eval(a) for a in e[4]]
         if not isinstance(e[3], str):
-            self.emit(M.USE, "call", self.eval(e[3]), e[1])
+            self.emit(M.USE, "dynamic", self.eval(e[3]), e[1])
+            if (named := self.pattern(e[3])) and "{}" in named and owner.type and not owner.type.startswith("?"):
+                self.apply(f"m:{owner.type}::{named.lower()}", args, owner, e[1])
             return _union([owner, *args])
         name, line = e[3].lower(), e[1]
         receiver = (e[2][2] if e[2][0] == "var" else e[2][3] if e[2][0] == "prop" else "")
@@ -708,9 +831,9 @@ class Interpreter:
             wanted = M.METHOD_RECEIVERS.get(name)
             if wanted and not any(w in receiver for w in wanted):
                 continue
-            if rule == M.PRIVILEGE and e[4] and literal(e[4][0]) in M.LOW_ROLES:
+            if rule == M.PRIVILEGE and e[4] and self.text(e[4][0]) in M.LOW_ROLES:
                 continue
-            if name == "prepare" and e[4] and e[4][0][0] in ("literal",):
+            if name == "prepare" and e[4] and self.constant_like(e[4][0]):
                 continue
             for i in positions:
                 if i < len(args):
@@ -722,11 +845,52 @@ class Interpreter:
                 for k in a.fields:
                     if k == "*":
                         self.emit(M.SQL, "sql", Value(a.origins), line)
+            table = sql_text.table_key(self.pattern(e[4][0]) if e[4] else None)
+            if table and len(args) > 1:
+                for k, v in args[1].fields.items():
+                    for key, f in v.all().items():
+                        self.store(f"table:{table}", k, key, f, self.place(line))
             return Value()
         if receiver == "wpdb" and name in ("get_results", "get_row", "get_var", "get_col"):
-            return Value({("S", *self.place(line)): PERSISTENT})
+            query = self.pattern(inner_query(e[4][0])) if e[4] else None
+            if sql_text.is_aggregate(query):
+                return Value()
+            held = Value({("S", *self.place(line)): PERSISTENT})
+            for table in sql_text.read_tables(query):
+                for column, _ in sql_text.select_columns(query) or [("*", "*")]:
+                    self.reads.add((f"table:{table}", column, line))
+            return held
         return _union([owner, *args])
 
+    def constant_like(self, node) -> bool:
+        """Whether a query's text is made of constants and table names only."""
+        if not isinstance(node, tuple):
+            return False
+        if node[0] == "concat" or (node[0] == "binary" and node[2] == "."):
+            return all(self.constant_like(p) for p in (node[2] if node[0] == "concat" else node[3:5]))
+        if node[0] == "prop":
+            return node[2][0] == "var" and node[2][2] == "wpdb"
+        return node[0] in ("literal", "name", "cconst") or self.text(node) is not None
+
+    def output_records(self, value: Value, line: int) -> None:
+        for key, flags in value.all().items():
+            self.emit_one(M.RECORD, "output", key, flags, self.place(line), self.r["key"])
+
+    def grant(self, role: Value, node, line: int) -> None:
+        """A role given to a user, unless it is one that anyone may have."""
+        given = [self.text(v) for k, v in node[2] if isinstance(k, tuple) and literal(k) == M.ROLE_KEY] if node[0] == "array" else []
+        if not given or given[0] not in M.LOW_ROLES:
+            self.emit(M.PRIVILEGE, "call", role, line)
+
+    def attachment_before(self, line: int) -> bool:
+        """Whether a header before a line makes the answer a download."""
+        for n in G.nodes(self.r["body"]):
+            if n[0] == "call" and isinstance(n[2], str) and G.short(n[2]) == "header" and n[1] <= line and n[3]:
+                text = (self.pattern(n[3][0]) or "").lower().strip().strip("\"'")
+                if text.startswith("content-disposition:") and "attachment" in text:
+                    return True
+        return False
+
     def e_scall(self, e) -> Value:
         args = [self.eval(a) for a in e[4]]
         if not isinstance(e[2], str) or not isinstance(e[3], str):
@@ -748,6 +912,19 @@ def _union(values: list[Value]) -> Value:
     return out
 
 
+def constant_name(name: str) -> str:
+    return name.rsplit("|", 1)[-1].rsplit("\\", 1)[-1]
+
+
+def inner_query(node):
+    """The query text of a call of prepare, or the node itself."""
+    return node[4][0] if isinstance(node, tuple) and node[0] == "method" and node[3] == "prepare" and node[4] else node
+
+
+def _plain_text(key: tuple) -> str:
+    return key[0]
+
+
 def _plain(key: tuple) -> list:
     return [list(x) if isinstance(x, tuple) else x for x in key]
 
@@ -756,22 +933,36 @@ def _key(key: list) -> tuple:
     return tuple(tuple(x) if isinstance(x, list) else x for x in key)
 
 
-def truth(node) -> bool | None:
-    """Truth of a condition where it is certain: three-valued, with short cuts for and and or."""
+def typed(node, text=literal) -> tuple[str, str | None] | None:
+    """A literal scalar with its type, so that '1', 1 and true differ; None where it isn't certain."""
     if not isinstance(node, tuple):
         return None
     if node[0] == "literal":
         if node[2] == "bool":
-            return node[3] == "true"
-        if node[2] == "null":
-            return False
-        return node[3] not in ("", "0")
+            return "bool", node[3].lower()
+        return {"null": ("null", None), "number": ("num", node[3]), "string": ("str", node[3])}.get(node[2])
+    known = text(node)
+    return None if known is None else ("str", known)
+
+
+def truth(node, text=literal) -> bool | None:
+    """Truth of a condition where it is certain: three-valued, with short cuts for and and or."""
+    if not isinstance(node, tuple):
+        return None
     if node[0] == "unary" and node[2] == "!":
-        t = truth(node[3])
+        t = truth(node[3], text)
         return None if t is None else not t
-    if node[0] == "binary" and node[2] in ("&&", "and", "||", "or"):
-        a, b = truth(node[3]), truth(node[4])
-        if node[2] in ("&&", "and"):
+    if node[0] == "binary" and node[2] in (*G.BOTH, *G.EITHER):
+        a, b = truth(node[3], text), truth(node[4], text)
+        if node[2] in G.BOTH:
             return False if a is False or b is False else None if a is None or b is None else True
         return True if a is True or b is True else None if a is None or b is None else False
-    return None
+    if node[0] == "binary" and node[2] in (*G.SAME, *G.DIFFERENT):
+        a, b = typed(node[3], text), typed(node[4], text)
+        if a is None or b is None or (a[0] != b[0] and node[2] in ("==", "!=", "<>")):
+            return None
+        return (a == b) == (node[2] in G.SAME)
+    value = typed(node, text)
+    if value is None:
+        return None
+    return {"bool": value[1] == "true", "null": False}.get(value[0], value[1] not in ("", "0"))

@@ -48,7 +48,17 @@ INCLUDE, PATH, DELETE, UPLOAD = (
 )
 SQL, USE, OBJECT, PRIVILEGE = "tainted-sql-string", "unsafe-use", "unsafe-deserialization", "wp-request-tainted-privilege-mutation"
 ACTION, REDIRECT, HEADER = "wp-request-sensitive-action-without-cap-check", "wp-open-redirect", "wp-header-injection"
-#: Rule, operation, and where its arguments are: function names by argument positions.
+FINANCIAL, RENDER = "wp-ajax-financial-action-without-cap-check", "render-callback-execution"
+#: Rules of the opt-in operation ``surface``.
+DISCLOSURE, TOKEN, AUTH_LINK, OAUTH, IDENTIFIER, UPLOAD_API = (
+    "wp-rest-public-data-disclosure-surface",
+    "wp-rest-token-issuance-surface",
+    "wp-issued-auth-link-surface",
+    "wp-public-oauth-callback-auth-surface",
+    "predictable-security-identifier-surface",
+    "upload-api-surface",
+)
+#: Rule, operation, and where its arguments are: function names by argument positions.
 FUNCTION_SINKS: list[tuple[str, str, str, tuple[int, ...]]] = [
     (PATH, "read", "file_get_contents readfile file parse_ini_file simplexml_load_file", (0,)),
     (PATH, "open", "fopen", (0,)),
@@ -76,28 +86,54 @@ FUNCTION_SINKS: list[tuple[str, str, str, tuple[int, ...]]] = [
     ),
     (USE, "call", "assert exec system passthru shell_exec popen proc_open pcntl_exec", (0,)),
     (USE, "call", "create_function", (1,)),
-    (USE, "call", "call_user_func call_user_func_array forward_static_call forward_static_call_array", (0,)),
     (OBJECT, "call", "unserialize maybe_unserialize", (0,)),
     (PRIVILEGE, "call", "grant_super_admin", (0,)),
     (REDIRECT, "action", "wp_redirect", (0,)),
     (HEADER, "action", "header", (0,)),
     (SQL, "sql", "mysql_query mysql_unbuffered_query", (0,)),
-    (REFLECTED, "output", "printf vprintf print_r var_dump wp_die wp_send_json wp_send_json_success wp_send_json_error", (0, 1, 2, 3)),
+    (REFLECTED, "output", "printf vprintf print_r var_dump wp_die", (0, 1, 2, 3)),
 ]
+#: Outgoing requests; listed for those who want them, no scan looks for them.
+OUTGOING_REQUESTS = """wp_remote_get wp_remote_post wp_remote_request wp_remote_head wp_remote_fopen
+wp_remote_retrieve_body_from_url wp_safe_remote_get wp_safe_remote_post wp_safe_remote_request wp_safe_remote_head""".split()
+#: Functions that call what their first argument names; functions that send data as JSON; that send a file.
+DYNAMIC_CALLS = "call_user_func call_user_func_array forward_static_call forward_static_call_array".split()
+JSON_OUTPUT = "wp_send_json wp_send_json_success wp_send_json_error".split()
+DOWNLOADS = "readfile fpassthru".split()
+#: Functions that read the request body when their first argument is php://input.
+BODY_READERS = "file_get_contents file readfile fopen fgets fgetss stream_get_contents".split()
+#: A name reads records if it starts with one of the first and holds one of the second.
+RECORD_PREFIXES = "get read fetch find load retrieve lookup query".split()
+RECORD_MARKERS = "log record entry message content transcript detail details mail email".split()
+#: Functions that take the role of a user under this key, and ends of meta keys that hold rights.
+ROLE_FUNCTIONS, ROLE_KEY = "wp_insert_user wp_update_user".split(), "role"
+RIGHTS_META_FUNCTIONS, RIGHTS_META = "update_user_meta add_user_meta".split(), ("capabilities", "user_level")
+#: Filters whose callbacks return a part of a query.
+SQL_CLAUSE_HOOKS = """posts_search posts_search_orderby posts_where posts_join posts_groupby posts_orderby posts_distinct
+post_limits posts_fields posts_where_request posts_join_request posts_groupby_request posts_orderby_request
+posts_distinct_request post_limits_request posts_fields_request posts_request get_meta_sql""".split()
+#: Fixed value: the filter that decides whether an upload is allowed.
+UPLOAD_FILTER = "wp_check_filetype_and_ext"
 #: Query functions whose connection comes first if there are two arguments.
 LINK_FIRST = "mysqli_query mysqli_multi_query mysqli_real_query mysqli_send_query mysqli_prepare pg_query pg_send_query sqlsrv_query".split()
-#: The same for methods.
+#: The same for methods.
 METHOD_SINKS: list[tuple[str, str, str, tuple[int, ...]]] = [
     (PRIVILEGE, "call", "set_role add_role add_cap", (0,)),
     (PATH, "read", "get_contents", (0,)),
     (PATH, "delete", "delete", (0,)),
     (UPLOAD, "write", "put_contents move copy", (0, 1)),
-    (UPLOAD, "write", "extractto", (0,)),
+    (UPLOAD, "write", "extract extractto", (0,)),
+    (ACTION, "action", "set", (1,)),
+    (ACTION, "action", "install", (0,)),
+    (FINANCIAL, "action", "refund_payment cancel_subscription", (0,)),
     (SQL, "sql", "query get_var get_row get_col get_results execute executequery multi_query real_query send_query", (0,)),
     (SQL, "sql", "prepare where_raw whereraw orwhereraw select_raw selectraw join_raw joinraw having_raw havingraw order_by_raw orderbyraw", (0,)),
 ]
 #: Receivers of the methods that are too common by name to be sinks on anything.
 METHOD_RECEIVERS = {
+    "extract": ("zip", "archive", "tar", "phar"),
+    "set": ("config", "settings", "options", "option"),
+    "install": ("installer", "upgrader"),
     "delete": ("filesystem", "fs"),
     "move": ("filesystem", "fs"),
     "copy": ("filesystem", "fs"),
@@ -123,31 +159,49 @@ STORE_WRITES = [
     ("add_user_meta update_user_meta", "user_meta", 1, 2),
     ("add_term_meta update_term_meta", "term_meta", 1, 2),
 ]
-#: Checks by what they prove.
+#: Checks by what they prove. Which of their calls count is for ``taint_guards``.
 CHECKS = {
     "capability": "current_user_can user_can current_user_can_for_blog author_can",
     "nonce": "wp_verify_nonce check_ajax_referer check_admin_referer",
     "auth": "is_user_logged_in wp_validate_auth_cookie auth_redirect",
 }
-#: Hooks whose registration makes a callback an entry: start of the name, kind, tier. The first that fits holds.
+#: Hooks whose registration makes a callback an entry: name, or start of one that ends in a bar; kind, tier.
+#: The first that fits holds.
 ENTRY_HOOKS = [
     ("wp_ajax_nopriv_", "ajax", "unauthenticated"),
     ("wp_ajax_", "ajax", "authenticated"),
     ("admin_post_nopriv_", "admin_post", "unauthenticated"),
     ("admin_post_", "admin_post", "authenticated"),
-    ("admin_init", "hook", "unauthenticated"),
-    ("init", "hook", "unauthenticated"),
-    ("wp_loaded", "hook", "unauthenticated"),
-    ("template_redirect", "hook", "unauthenticated"),
-    ("parse_request", "hook", "unauthenticated"),
-    ("wp", "hook", "unauthenticated"),
+    ("admin_init", "front_hook", "authenticated"),
+    ("muplugins_loaded", "front_hook", "unauthenticated"),
+    ("plugins_loaded", "front_hook", "unauthenticated"),
+    ("init", "front_hook", "unauthenticated"),
+    ("wp_loaded", "front_hook", "unauthenticated"),
+    ("parse_request", "front_hook", "unauthenticated"),
+    ("template_redirect", "front_hook", "unauthenticated"),
+    ("wp", "front_hook", "unauthenticated"),
+    ("rest_api_init", "rest_init", "unknown"),
 ]
 #: Rules that a capability check in the context suppresses.
-GUARDED_RULES = (UPLOAD, DELETE, ACTION, RECORD)
+GUARDED_RULES = (UPLOAD, DELETE, ACTION, FINANCIAL, RECORD)
 #: Roles that may be granted freely.
 LOW_ROLES = ("subscriber", "customer")
 
 
+def reads_records(name: str) -> bool:
+    """Whether a function or method of this name reads records."""
+    name = name.lstrip("\\").lower().rsplit("\\", 1)[-1]
+    return name.startswith(tuple(RECORD_PREFIXES)) and any(m in name for m in RECORD_MARKERS)
+
+
+def join_route(namespace: str, route: str) -> str:
+    """A route below its namespace, with one bar between."""
+    namespace, route = namespace.strip("/"), route.strip()
+    if not namespace:
+        return route
+    return f"/{namespace}" + (route if not route or route.startswith("/") else f"/{route}")
+
+
 def by_name(table: list[tuple], column: int) -> dict[str, list[tuple]]:
     """Rows of a model table by each of the names in a column."""
     out: dict[str, list[tuple]] = {}

@@ -621,7 +621,7 @@ JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation
 _ROLES = ", ".join(f"('{c}', '{r}', {ROLE_LEVEL[r]})" for r, cs in CAPABILITY_ROLE.items() for c in cs.split())
 ORACLES["capability_roles"] = f"""
 WITH m(capability, role, role_level) AS (VALUES {_ROLES})
-SELECT required_capability, role, role_level, count(*) AS n FROM findings LEFT JOIN m ON required_capability = capability
+SELECT required_capability, coalesce(role, 'unknown_role') AS role, role_level, count(*) AS n FROM findings LEFT JOIN m ON required_capability = capability
 WHERE required_capability IS NOT NULL GROUP BY 1, 2, 3"""
 
 

@@ -358,6 +358,18 @@ class Parser:
 
     _s_global = _s_static = _names
 
+    def _s_const(self, n):
+        self.next()
+        out = []
+        while True:
+            name = self.next()[1]
+            self.need("=")
+            out.append(("expr", n, ("call", n, "define", [("literal", n, "string", name), self.expression()])))
+            if not self.take(","):
+                break
+        self.end()
+        return ("block", n, out)
+
     def _s_unset(self, n):
         self.next()
         args = [a for a, _ in self.arguments()]
@@ -423,7 +435,7 @@ class Parser:
             if self.next()[0] == "end":
                 break
 
-    _s_declare = _s_const = _skip
+    _s_declare = _skip
 
     def _s_function(self, n):
         self.next()

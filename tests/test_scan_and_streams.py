@@ -156,7 +156,7 @@ def test_stored_values_meet_their_writers(spark):
         }
     }
     got = {(r.rule_id, r.source.snippet[-20:], r.access, r.stored_access, r.score) for r in _scan(spark, files).collect() if r.rule_id == M.STORED}
-    assert {x[2:] for x in got} == {("authenticated", "unauthenticated", 1000)}
+    assert {x[2:] for x in got} == {("unauthenticated", "unauthenticated", 1000)}
     reflected = _scan(spark, files).where(F.col("rule_id") == M.REFLECTED).first()
     assert {tuple(e)[:2] for e in reflected.entrypoints} == {("file", "lib/inc.php"), ("file", "i.php")}
 
