@@ -58,14 +58,6 @@ def tier_weight(access: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(TIER_WEIGHT), access), F.lit(OTHER_WEIGHT))
 
 
-def exploitability(rule: Column, access: Column, stored_access: Column | None = None) -> Column:
-    """Weight of the more reachable of both tiers, less the discount of signals."""
-    weight = tier_weight(access)
-    if stored_access is not None:
-        weight = F.greatest(weight, F.when(F.coalesce(stored_access, F.lit("")) != "", tier_weight(stored_access)))
-    return weight - F.when(F.coalesce(rule, F.lit("")).endswith(SIGNAL_SUFFIX), SIGNAL_DISCOUNT).otherwise(0)
-
-
 def access_severity(access: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(TIER_SEVERITY), access), F.lit("info"))
 

@@ -299,8 +299,13 @@ class Interpreter:
 
     def proved(self, names: set[str], body):
         def run():
+            before = {n: self.env[n] for n in names if n in self.env}
             self.mark_paths(names)
+            marked = {n: self.env[n] for n in before}
             self.walk(body)
+            for n, v in marked.items():  # the proof ends with the branch
+                if self.env.get(n) is v:
+                    self.env[n] = before[n]
 
         return run
 

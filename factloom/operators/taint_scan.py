@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.access import ROLE_LEVEL, access_severity, derive_access, exploitability, minimum_role, role_level, tier_weight
+from factloom.functions.access import ROLE_LEVEL, access_severity, derive_access, minimum_role, role_level, tier_weight
+from factloom.functions.scores import exploitability
 from factloom.operators import taint_guards as G
 from factloom.operators import taint_models as M
 from factloom.operators.closure import propagate_sets, reach
@@ -143,8 +144,10 @@ def outline(c: dict) -> tuple[list[str], list[str], bool]:
             name = G.short(name)
             seed = seed or name in _SEEDS or name.startswith(("add_", "register_", "do_action", "apply_filters"))
             calls.add(name)
-        elif n[0] in ("echo", "print", "exit", "eval", "shell", "include", "new", "return") or (n[0] == "literal" and n[2] == "string" and len(n[3] or "") < 200):
-            seed = seed or n[0] not in ("literal", "return", "new")
+        elif n[0] in ("echo", "print", "exit", "eval", "shell", "include", "new", "return", "assign") or (n[0] == "literal" and n[2] == "string" and len(n[3] or "") < 200):
+            seed = seed or n[0] not in ("literal", "return", "new", "assign")
+            if n[0] == "assign" and n[2][0] == "prop":
+                seed = True
             if n[0] == "literal":  # it may name a callback
                 calls.add(G.short(n[3].split("::")[-1]))
             elif n[0] == "new":
@@ -655,5 +658,5 @@ def scan(
         F.coalesce("entrypoints", F.array().cast("array<struct<kind:string,name:string,access:string>>")).alias("entrypoints"),
         F.concat_ws("|", "rule_id", F.concat_ws(":", "sink.path", F.col("sink.line").cast("string")), F.concat_ws(":", "source.path", F.col("source.line").cast("string"))).alias("finding_key"),
         "stored_access",
-        exploitability(F.col("rule_id"), F.col("access"), F.col("stored_access")).alias("score"),
+        exploitability(F.col("rule_id"), F.col("access"), F.col("stored_access"), F.col("source"), F.col("sink")).alias("score"),
     )

@@ -10,10 +10,10 @@ from factloom.functions.access import (
     ROLE_LEVEL,
     access_severity,
     derive_access,
-    exploitability,
     minimum_role,
     role_level,
 )
+from factloom.functions.scores import exploitability, standing
 from factloom.functions.severity import canonical_severity
 from factloom.functions.text import ENTITIES, fingerprint, plain_text, tolerant_string, url_host, wildcard_pattern
 from factloom.functions.versions import version_key
@@ -61,9 +61,9 @@ def finding_latest(spark, d):
 
 def finding_rank(spark, d):
     """The fifty most exposed findings; the report is a top list."""
-    f = load(spark, d, "findings").select("finding_id", "rule_id", "access", "path", "line").distinct()
+    f = load(spark, d, "findings").select("finding_id", "rule_id", "access", "path", "line", "source", "sink").distinct()
     return (
-        f.withColumn("score", exploitability(F.col("rule_id"), F.col("access")))
+        f.withColumn("score", exploitability(F.col("rule_id"), F.col("access"), None, F.col("source"), F.col("sink")))
         .orderBy(F.desc("score"), "rule_id", "path", "line", "finding_id")
         .limit(50)
         .select("finding_id", "rule_id", "score")
@@ -434,6 +434,41 @@ QUERIES = {
 _WEIGHT = """(CASE access WHEN 'unauthenticated' THEN 1000 WHEN 'permission_callback' THEN 700 WHEN 'nonce_only' THEN 600
   WHEN 'authenticated' THEN 400 WHEN 'unknown' THEN 200 WHEN 'capability_checked' THEN 50 ELSE 100 END
   - CASE WHEN coalesce(rule_id, '') LIKE '%-surface' THEN 150 ELSE 0 END)"""
+_POINTS = [
+    ("render-callback-execution", "source", "has('apply_filters(') OR has('apply_filters_ref_array(')", 160),
+    ("render-callback-execution", "source", "has('apply_filters_deprecated(') AND NOT has('apply_filters(') AND NOT has('apply_filters_ref_array(')", 80),
+    ("render-callback-execution", "source", "has('prepare_post_data(') OR has('stripslashes_deep($_post[''data''])') OR has('stripslashes_deep( $_post[''data''] )')", 48),
+    ("wp-request-tainted-privilege-mutation", "source", "has('json_decode(') AND (has('$_post') OR has('$_request'))", 96),
+    ("wp-request-tainted-privilege-mutation", "source", "has('new_role') OR has('[''role'']') OR has('\"role\"')", 72),
+    ("wp-request-tainted-privilege-mutation", "source", "has('file_get_contents(') AND has('$_files')", -64),
+    ("unsafe-deserialization", "source", "starts_with(ltrim(text), 'function ')", -128),
+    *(
+        (rule, "sink", test, points)
+        for rule in ("wp-request-record-read-to-output-without-cap-check", "wp-stored-xss-persistent-read-to-output")
+        for test, points in (
+            ("has('preg_replace(')", 160), ("has('call_user_func(') OR has('call_user_func_array(')", 144),
+            ("has('echo $') OR has('<?= $') OR has('print $')", 112),
+            ("has('href=\"<?php echo') OR has('src=\"<?php echo') OR has('title=\"<?php echo')", 48),
+            ("has('esc_url(') OR has('esc_attr(')", 24), ("has('esc_html(') OR has('number_format_i18n(')", -16),
+        )
+    ),
+    *(
+        (rule, "source", test, points)
+        for rule in ("wp-request-file-delete-without-cap-check", "request-path-read-delete", "path-transversal")
+        for test, points in (("has('file_path') OR has('tmp_name') OR has('filepath')", 96), ("has('path') OR has('file')", 40), ("has('text')", -24))
+    ),
+]
+
+
+def _points_sql(rule: str, side: str, test: str, points: int) -> str:
+    text = f"lower(coalesce({side}.snippet, ''))"
+    test = test.replace("has(", f"contains({text}, ").replace("(text)", f"({text})")
+    return f"CASE WHEN rule_id = '{rule}' AND ({test}) THEN {points} ELSE 0 END"
+
+
+_RULE_POINTS = "(" + " + ".join(_points_sql(*p) for p in _POINTS) + (
+    " + CASE WHEN rule_id = 'path-transversal' AND source.path <> '' AND sink.path <> '' AND source.path <> sink.path THEN 32 ELSE 0 END)"
+)
 _TIER = """(CASE access WHEN 'unauthenticated' THEN 'critical' WHEN 'authenticated' THEN 'high' WHEN 'nonce_only' THEN 'medium'
   WHEN 'capability_checked' THEN 'low' ELSE 'info' END)"""
 _WORD = "lower(trim(severity, chr(32) || chr(9) || chr(13) || chr(10) || chr(160)))"
@@ -451,7 +486,7 @@ SELECT finding_id, job_id, slug, rule_id, ingested_at FROM findings
 QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC, job_id) = 1""",
     "finding_rank": f"""
 SELECT finding_id, rule_id, score FROM (
-  SELECT DISTINCT finding_id, rule_id, access, path, line, {_WEIGHT} AS score FROM findings)
+  SELECT DISTINCT finding_id, rule_id, access, path, line, source, sink, {_WEIGHT} + {_RULE_POINTS} AS score FROM findings)
 ORDER BY score DESC, rule_id NULLS FIRST, path, line, finding_id LIMIT 50""",
     "finding_unguarded": """
 WITH f AS (SELECT DISTINCT job_id, path, line, finding_id, access, rule_id FROM findings)

@@ -1,11 +1,12 @@
-"""Queries of the scan over program text in the documents table, and of job state over events."""
+"""Queries of the scan over programs and over program text in the documents table, and of job state over events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators.taint_scan import extract_callables, scan
-from factloom.session import load
+from factloom.operators.taint_scan import _facts, constants, contexts, extract_callables, extract_program, own_checks, scan, summarise
+from factloom.plans import scan_programs as P
+from factloom.session import load, stage
 from factloom.sources.excerpts import document_programs
 from factloom.streaming.jobs import latest_states
 
@@ -27,6 +28,43 @@ def excerpt_findings(spark, d):
     )
 
 
+def scan_cases(spark, d):
+    """Findings of programs of a few lines, one case for each rule of the scan."""
+    place = F.concat_ws(":", "sink.path", F.col("sink.line").cast("string"))
+    return scan(P.program_files(spark)).select(
+        F.col("root").alias("case_id"), "rule_id", place.alias("place"), F.col("source.line").alias("source_line"), "access", "severity",
+        "required_capability", "minimum_role", "score",
+    )
+
+
+def scan_large(spark, d):
+    """Findings of twenty programs of 1,613 callables each, a fifth of them on a way from an entry to a sink."""
+    return scan(P.large_programs(spark).repartition(32)).select(F.col("root").alias("case_id"), "callable", "rule_id", "access")
+
+
+def scan_facts(spark, d):
+    """Checks with those of helpers, entries, calls, stores and constants of some of the programs."""
+    callables = stage(extract_program(P.program_files(spark, P.FACT_CASES)), "fact-callables")
+    summaries, edges, meaning = summarise(callables)
+    case = F.col("root").alias("case_id")
+    fact = lambda df, kind, about, value: df.select(case, F.lit(kind).alias("kind"), about.alias("about"), value.alias("value"))
+    entries = contexts(summaries, edges.limit(0), meaning).where("what = 'entry'")
+    name = F.regexp_replace("name", "^wp_ajax_(nopriv_)?", "")
+    stores = summaries.select("root", "key", F.explode(F.from_json(F.get_json_object("summary", "$.stores"), "array<string>")).alias("x"))
+    parts = [
+        fact(own_checks(summaries, meaning).where("key not like 'file:%'"), "check", F.col("key"), F.concat_ws(":", "kind", "name")),
+        fact(entries, "entry", F.col("key"), F.concat_ws("/", "kind", name, "tier")),
+        fact(edges.where(F.col("caller") != F.col("callee")), "call", F.col("caller"), F.col("callee")),
+        fact(_facts(summaries, "reads"), "read", F.col("key"), F.concat_ws("/", F.col("x")[0], F.col("x")[1])),
+        fact(stores, "write", F.col("key"), F.concat_ws("/", F.get_json_object("x", "$[0]"), F.get_json_object("x", "$[1]"))),
+        fact(constants(callables), "constant", F.col("name"), F.col("text")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def job_state_machine(spark, d):
     """States of users read as jobs: each event type moves a job on, never back."""
     words = {"view": "queued", "click": "downloading", "signup": "scanning", "purchase": "done", "error": "failed"}
@@ -35,9 +73,20 @@ def job_state_machine(spark, d):
     return latest_states(e)
 
 
-QUERIES = {f.__name__: f for f in (excerpt_callables, excerpt_findings, job_state_machine)}
+QUERIES = {f.__name__: f for f in (scan_cases, scan_facts, scan_large, excerpt_callables, excerpt_findings, job_state_machine)}
+
+_SEVERITY = "CASE access WHEN 'unauthenticated' THEN 'critical' WHEN 'authenticated' THEN 'high' WHEN 'nonce_only' THEN 'medium' WHEN 'capability_checked' THEN 'low' ELSE 'info' END"
 
 ORACLES = {
+    "scan_cases": f"""
+SELECT case_id, rule_id, place, source_line::INT AS source_line, access, {_SEVERITY} AS severity, nullif(capability, '-') AS required_capability,
+  CASE capability WHEN 'manage_options' THEN 'administrator' WHEN 'read' THEN 'subscriber' END AS minimum_role, score::INT AS score
+FROM (VALUES {P.values(P.EXPECTED, 7)}) t(case_id, rule_id, place, source_line, access, capability, score)""",
+    "scan_large": f"""
+SELECT 'large' || p AS case_id, 'f:show_' || i AS callable, 'wp-reflected-xss-direct-request-output' AS rule_id, 'unauthenticated' AS access
+FROM range({P.LARGE_PROGRAMS}) a(p), range({P.LARGE_RELEVANT // 3}) b(i)""",
+    "scan_facts": f"""
+SELECT case_id, kind, about, value FROM (VALUES {P.values(P.EXPECTED_FACTS, 4)}) t(case_id, kind, about, value)""",
     "job_state_machine": """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'downloading'
   WHEN 'signup' THEN 'scanning' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status FROM events WHERE user_id IS NOT NULL),

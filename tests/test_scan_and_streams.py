@@ -304,3 +304,22 @@ def test_inherited_methods_of_long_chains_and_cycles(spark):
         "round": {"a.php": "<?php class A extends B {} class B extends A {} (new A())->show($_GET['a']);"},
     }
     assert [(r.root, r.callable, r.source.path) for r in _scan(spark, files).collect()] == [("long", "m:c9::show", "a.php")]
+
+
+def test_scan_cases_with_and_without_what_cannot_matter(spark):
+    from factloom.plans.scan_programs import EXPECTED, program_files as case_files
+
+    want = sorted(tuple(line.split(" ")[:3]) for line in EXPECTED.strip().splitlines())
+    out = scan(case_files(spark), prune=False).collect()
+    assert sorted((r.root, r.rule_id, f"{r.path}:{r.line}") for r in out) == want
+
+
+def test_query_text():
+    from factloom.functions.sql_text import is_aggregate, read_tables, select_columns, table_key, write_columns
+
+    assert select_columns("SELECT a.name, count(x) AS n, concat(b, ',', c) `z` FROM {}posts p") == [("name", "name"), ("count(x)", "n"), ("concat(b, ',', c)", "z")]
+    assert read_tables("select 1 from {}posts p join `wp_users` u on 1 = 1") == ["posts", "users"]
+    assert write_columns("INSERT INTO {}t (a, `b`) VALUES (1, 2)") == ("t", ["a", "b"])
+    assert write_columns("update wp_t set a = 1, b = f(2, 3) where c = 1") == ("t", ["a", "b"])
+    assert is_aggregate("select count(*) from t") and not is_aggregate("select count(*), a from t") and not is_aggregate(None)
+    assert select_columns(None) == [] and read_tables("") == [] and write_columns("drop table t") is None and table_key(None) is None
