@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.scores import concrete, standing, visible_callable
 from factloom.operators.closure import components
 from factloom.operators.joins import near_before
 
@@ -98,3 +99,76 @@ def match_cases(findings: DataFrame, cases: Sequence[dict], texts: dict[str, Col
         )
     )
     return findings.withColumn("__case", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("*", "__case.*").drop("__case")
+
+
+#: Rules whose findings at one site are one, whatever their sources; all others are told by their source too.
+COLLAPSED = """wp-request-tainted-privilege-mutation predictable-security-identifier-surface upload-api-surface
+wp-issued-auth-link-surface wp-reflected-xss-direct-request-output stored-xss path-transversal request-path-read-delete
+render-callback-execution unsafe-deserialization unsafe-use tainted-sql-string wp-stored-xss-persistent-read-to-output
+wp-ajax-financial-action-without-cap-check wp-request-file-upload-without-cap-check
+wp-request-record-read-to-output-without-cap-check wp-request-file-delete-without-cap-check
+wp-rest-token-issuance-surface wp-rest-public-data-disclosure-surface wp-request-sensitive-action-without-cap-check""".split()
+#: Rules whose site has no line but a callable; rules whose sites are the same for every callable.
+BY_CALLABLE = ("wp-request-sensitive-action-without-cap-check",)
+ANY_CALLABLE = """wp-request-tainted-privilege-mutation path-transversal request-path-read-delete tainted-sql-string upload-api-surface
+wp-request-file-upload-without-cap-check wp-stored-xss-persistent-read-to-output unsafe-use
+wp-request-record-read-to-output-without-cap-check render-callback-execution""".split()
+
+
+def site_keys() -> tuple[Column, Column]:
+    """The key of a finding's site, and another one that ties findings of the same source and sink text together (or null)."""
+    text = lambda *c: F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("")) for x in c))
+    rule = F.coalesce("rule_id", F.lit(""))
+    name = visible_callable(F.col("callable"))
+    exact = text(F.lit("exact"), rule, F.col("path"), F.col("line"), F.col("source.path"), F.col("source.line"), F.col("callable"))
+    place = text(F.lit("site"), rule, F.col("path"), F.col("line"), F.col("message"), F.col("sink.path"), F.col("sink.line"))
+    key = (
+        F.when(~rule.isin(*COLLAPSED), F.when(concrete(F.col("source")), exact).otherwise(text(place, name)))
+        .when(rule.isin(*BY_CALLABLE), text(F.lit("action"), rule, F.col("path"), F.col("message"), F.col("sink.path"), F.col("sink.snippet")))
+        .when(rule.isin(*ANY_CALLABLE), place)
+        .otherwise(text(place, name))
+    )
+    tied = (rule == "wp-request-tainted-privilege-mutation") & (name != "") & (F.trim("source.snippet") != "") & (F.trim("sink.snippet") != "")
+    return key, F.when(tied, text(F.lit("tied"), rule, F.col("message"), F.col("source.snippet"), F.col("sink.snippet")))
+
+
+def final_findings(findings: DataFrame, scope: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One finding for each site within ``scope``: columns of ``findings``, standing, n_findings.
+
+    Sites that a second key ties together are one. Of a site's findings the
+    one that stands best for it is kept, of equals the first in ``order``. The
+    rules hold whatever the order of the rows.
+    """
+    key, other = site_keys()
+    owner = F.concat_ws("|", *(F.coalesce(F.col(s), F.lit("")) for s in scope))
+    keyed = findings.withColumn("__key", F.concat_ws("|", owner, key)).withColumn("__other", F.concat(owner, F.lit("|"), other))
+    links = keyed.where(F.col("__other").isNotNull()).select(F.col("__key").alias("a"), F.col("__other").alias("b")).distinct()
+    groups = components(links)
+    ranked = (
+        keyed.join(groups.withColumnRenamed("node", "__key"), "__key", "left")
+        .withColumn("__site", F.coalesce("component", "__key"))
+        .withColumn("standing", standing(F.col("rule_id"), F.col("source"), F.col("sink"), F.col("callable")))
+    )
+    counts = ranked.groupBy("__site").agg(F.count(F.lit(1)).alias("n_findings"))
+    best = best_per_key(ranked, ["__site"], [F.desc("standing"), *(F.asc(c) for c in order)])
+    return best.join(counts, "__site").drop("__key", "__other", "__site", "component")
+
+
+def valid_requests(requests: DataFrame, most_versions: int) -> DataFrame:
+    """Requests (slug, version) of a right form, once each, the first ``most_versions`` of a slug.
+
+    A slug is lower-case letters, figures, hyphens and underscores, a version
+    has no path in it; null is neither.
+    """
+    good = requests.where(F.col("slug").rlike(r"^[a-z0-9][a-z0-9_-]*$") & F.col("version").rlike(r"^[0-9A-Za-z][0-9A-Za-z._+-]*$"))
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("version"))
+    return good.select("slug", "version").distinct().withColumn("place", place).where(F.col("place") <= most_versions).drop("place")
+
+
+def merge_payloads(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Result lists as one; of rows with equal keys that of the last list stays."""
+    merged = None
+    for i, part in enumerate(parts):
+        one = part.withColumn("__part", F.lit(i))
+        merged = one if merged is None else merged.unionByName(one)
+    return best_per_key(merged, keys, [F.desc("__part")]).drop("__part")

@@ -91,3 +91,50 @@ def path_variants(segments: Column) -> Column:
     return F.when((F.size(segments) > 0) & last.startswith("["), F.array_distinct(F.array(segments, general))).otherwise(
         F.array(segments)
     )
+
+
+def optional_merge(value: Column) -> Column:
+    """Union of values as a sorted array, or null where there is none: nothing merged with nothing stays nothing."""
+    values = F.array_sort(F.collect_set(value))
+    return F.when(F.size(values) > 0, values)
+
+
+def equivalent(*pairs: tuple[Column, Column]) -> Column:
+    """Whether all pairs are equal, null and null included; arrays must be sorted."""
+    test = F.lit(True)
+    for a, b in pairs:
+        test = test & a.eqNullSafe(b)
+    return test
+
+
+def single_root(df: DataFrame, holder: Sequence[str], root: str, flags: Sequence[str]) -> DataFrame:
+    """(holder, root): holders whose origins all have one root, none of them null, and no flag at all.
+
+    Smallest and largest are compared, so nothing is gathered. Null flags are false.
+    """
+    any_flag = F.lit(False)
+    for f in flags:
+        any_flag = any_flag | F.coalesce(F.col(f), F.lit(False))
+    folded = df.groupBy(*holder).agg(
+        F.min(root).alias("__lo"), F.max(root).alias("__hi"), F.count_if(F.col(root).isNull()).alias("__none"), F.bool_or(any_flag).alias("__flagged")
+    )
+    return folded.where((F.col("__lo") == F.col("__hi")) & (F.col("__none") == 0) & ~F.col("__flagged")).select(*holder, F.col("__lo").alias(root))
+
+
+def drop_covered_parents(df: DataFrame, holder: Sequence[str], path: str, origin: str) -> DataFrame:
+    """``df`` (holder, path: array of segments, origin; distinct) without the paths whose origins all stand below them.
+
+    A path is dropped if it has a path below it and each of its origins is one
+    of those below. Every path is spread to the paths above it, so that the
+    relation of prefixes is an equi join.
+    """
+    ups = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda n: F.slice(F.col(path), F.lit(1), n))
+    below = df.where(F.size(path) > 1).select(*holder, F.explode(ups).alias(path), origin).distinct()
+    open_ = df.join(below, [*holder, path, origin], "left_anti").select(*holder, path).distinct()
+    return df.join(open_, [*holder, path], "left_semi")
+
+
+def cap_fan_out(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """``df`` without the rows of keys that have more than ``limit`` of them."""
+    few = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= limit).select(*keys)
+    return df.join(few, list(keys), "left_semi")

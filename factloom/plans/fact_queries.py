@@ -466,7 +466,7 @@ def _points_sql(rule: str, side: str, test: str, points: int) -> str:
     return f"CASE WHEN rule_id = '{rule}' AND ({test}) THEN {points} ELSE 0 END"
 
 
-_RULE_POINTS = "(" + " + ".join(_points_sql(*p) for p in _POINTS) + (
+RULE_POINTS_SQL = "(" + " + ".join(_points_sql(*p) for p in _POINTS) + (
     " + CASE WHEN rule_id = 'path-transversal' AND source.path <> '' AND sink.path <> '' AND source.path <> sink.path THEN 32 ELSE 0 END)"
 )
 _TIER = """(CASE access WHEN 'unauthenticated' THEN 'critical' WHEN 'authenticated' THEN 'high' WHEN 'nonce_only' THEN 'medium'
@@ -486,7 +486,7 @@ SELECT finding_id, job_id, slug, rule_id, ingested_at FROM findings
 QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC, job_id) = 1""",
     "finding_rank": f"""
 SELECT finding_id, rule_id, score FROM (
-  SELECT DISTINCT finding_id, rule_id, access, path, line, source, sink, {_WEIGHT} + {_RULE_POINTS} AS score FROM findings)
+  SELECT DISTINCT finding_id, rule_id, access, path, line, source, sink, {_WEIGHT} + {RULE_POINTS_SQL} AS score FROM findings)
 ORDER BY score DESC, rule_id NULLS FIRST, path, line, finding_id LIMIT 50""",
     "finding_unguarded": """
 WITH f AS (SELECT DISTINCT job_id, path, line, finding_id, access, rule_id FROM findings)

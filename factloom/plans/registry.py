@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import corpus_queries, fact_queries, scan_queries
+from factloom.plans import corpus_queries, fact_queries, scan_queries, verdict_queries
 from factloom.plans.fact_queries import flagship
 
-MODULES = [fact_queries, scan_queries, corpus_queries]
+MODULES = [fact_queries, verdict_queries, scan_queries, corpus_queries]
 
 
 def queries() -> dict:
