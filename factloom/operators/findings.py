@@ -71,36 +71,6 @@ def top_values(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFr
     return kept.groupBy(*keys).agg(F.transform(ordered, lambda x: x.getField("v")).alias("top_values"))
 
 
-def match_cases(findings: DataFrame, cases: Sequence[dict], texts: dict[str, Column]) -> DataFrame:
-    """(case_id, row columns, score): findings that meet every criterion of a case.
-
-    A case has case_id and, for names of ``texts``, lists of needles; a
-    criterion is met if any needle is contained, without regard to case and
-    outer blanks. Needles are few and stand in the plan as literals, so this is
-    one scan with conditions and no join. The score adds the weight of each
-    criterion that is configured.
-    """
-    weights = {name: w for name, w in zip(texts, (100, 40, 20, 10, 5))}
-
-    def met(case: dict) -> Column:
-        test = F.lit(True)
-        for name, text in texts.items():
-            if needles := [n.strip().lower() for n in case.get(name, []) if n.strip()]:
-                one = F.lit(False)
-                for n in needles:
-                    one = one | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(n))
-                test = test & one
-        return test
-
-    found = F.array(
-        *(
-            F.when(met(c), F.struct(F.lit(c["case_id"]).alias("case_id"), F.lit(sum(weights[n] for n in texts if c.get(n))).alias("score")))
-            for c in cases
-        )
-    )
-    return findings.withColumn("__case", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("*", "__case.*").drop("__case")
-
-
 #: Rules whose findings at one site are one, whatever their sources; all others are told by their source too.
 COLLAPSED = """wp-request-tainted-privilege-mutation predictable-security-identifier-surface upload-api-surface
 wp-issued-auth-link-surface wp-reflected-xss-direct-request-output stored-xss path-transversal request-path-read-delete

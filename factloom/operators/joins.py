@@ -95,6 +95,21 @@ def tiered_join(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str]
     return out.drop("__id")
 
 
+def tiered_counts(left: DataFrame, right: DataFrame, tiers: Sequence[Sequence[str]]) -> DataFrame:
+    """``left`` with ``tier``, the first tier of columns that has a match in ``right``, and ``n_matches``, how many.
+
+    Right rows are counted by key first, so a hot key makes one row for each
+    left one and no pairs. Left rows that no tier matches are left out; null
+    keys match nothing.
+    """
+    out = left
+    for number, keys in enumerate(tiers, 1):
+        out = out.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"__n{number}")), list(keys), "left")
+    counts = [F.col(f"__n{number}") for number in range(1, len(tiers) + 1)]
+    tier = F.coalesce(*(F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(counts, 1)))
+    return out.withColumn("tier", tier).withColumn("n_matches", F.coalesce(*counts)).where(F.col("tier").isNotNull()).select(*left.columns, "tier", "n_matches")
+
+
 def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name: str = "running") -> DataFrame:
     """``df`` with the sum of ``value`` up to each row in a total ``order``, without a single task for all rows.
 

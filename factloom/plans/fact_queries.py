@@ -20,20 +20,6 @@ from factloom.functions.versions import version_key
 from factloom.operators import closure, findings as ops, joins, lattice
 from factloom.session import load
 
-#: Fixed table: rule families and the rules they stand for.
-RULE_ALIASES = {
-    "sql": ("sql-text-from-request",),
-    "markup": ("wp-request-value-into-markup", "wp-stored-meta-into-markup"),
-    "write": ("wp-option-write-without-role", "wp-post-status-write-open", "wp-user-meta-write-open"),
-    "path": ("file-path-from-request", "archive-entry-path-unchecked", "template-name-from-request"),
-}
-#: Cases of a corpus manifest: what one finding must meet.
-CASES = [
-    {"case_id": "c1", "rule": ["sql-text"], "sink": ["$wpdb"]},
-    {"case_id": "c2", "rule": ["markup"], "source": ["$_COOKIE", "get_post_meta"]},
-    {"case_id": "c3", "path": [" INCLUDES/ "], "sink": ["wp_redirect"]},
-    {"case_id": "c4", "rule": ["no-such-rule"]},
-]
 #: Patterns of hook names.
 HOOKS = ["save_", "admin_post_", "wp_", "load", "order_"]
 
@@ -114,24 +100,6 @@ def sink_groups(spark, d):
     return counts.join(top, "sink_text").select("sink_text", "n", "n_sources", F.array_join("top_values", " ; ").alias("top_sources"))
 
 
-def corpus_match(spark, d):
-    """Verdict of each case: the best finding that meets all its criteria, or a miss."""
-    f = load(spark, d, "findings").select("finding_id", "rule_id", "path", "source", "sink").dropDuplicates(["finding_id"])
-    texts = {"rule": F.col("rule_id"), "path": F.col("path"), "source": F.col("source.snippet"), "sink": F.col("sink.snippet")}
-    hits = ops.match_cases(f, CASES, texts).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("finding_id").alias("first_id"), F.max("score").alias("score")
-    )
-    cases = spark.createDataFrame([(c["case_id"],) for c in CASES], "case_id string")
-    return cases.join(hits, "case_id", "left").select(
-        "case_id", F.when(F.col("n") > 0, "match").otherwise("miss").alias("status"), F.coalesce("n", F.lit(0)).alias("n"), "first_id", "score"
-    )
-
-
-def alias_counts(spark, d):
-    pairs = spark.createDataFrame([(a, r) for a, rs in RULE_ALIASES.items() for r in rs], "family string, rule_id string")
-    return load(spark, d, "findings").join(F.broadcast(pairs), "rule_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-
-
 def hook_patterns(spark, d):
     """Entry points by the hook pattern that their name starts with."""
     entries = load(spark, d, "findings").select("finding_id", F.explode("entrypoints").alias("e")).select("e.name").where("name is not null")
@@ -271,8 +239,8 @@ def storage_bridge(spark, d):
         .distinct()
     )
     writers = writers.where("key <> ''").groupBy("slug", "family", "key").agg(F.lit(1).alias("one"))
-    hit = joins.tiered_join(readers, writers, [["slug", "family", "key"], ["slug", "family"]])
-    return hit.groupBy("tier").agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("finding_id").alias("n_readers"))
+    hit = joins.tiered_counts(readers, writers, [["slug", "family", "key"], ["slug", "family"]])
+    return hit.groupBy("tier").agg(F.sum("n_matches").alias("n_links"), F.count(F.lit(1)).alias("n_readers"))
 
 
 def latest_purchase(spark, d):
@@ -423,7 +391,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, finding_latest, finding_rank, finding_clusters, finding_unguarded, finding_tally, finding_summary,
-        sink_groups, corpus_match, alias_counts, hook_patterns, hook_holes, access_context, capability_roles,
+        sink_groups, hook_patterns, hook_holes, access_context, capability_roles,
         origin_merge, context_merge, path_widening, job_fingerprint, file_reach, file_relevant, context_passes,
         owner_lookup, storage_bridge, latest_purchase, cache_evict, job_latest, job_batches, scanned_versions,
         latest_diff, plugin_search, plugin_text, payload_rules, payload_enrich, late_findings, event_sessions,
@@ -510,23 +478,6 @@ c AS (SELECT sink_text, source_text, count(*) AS n FROM f WHERE source_text IS N
 t AS (SELECT sink_text, string_agg(source_text, ' ; ' ORDER BY n DESC, source_text) AS top_sources FROM c GROUP BY 1)
 SELECT f.sink_text, count(*) AS n, count(DISTINCT source_text) AS n_sources, any_value(top_sources) AS top_sources
 FROM f JOIN t ON f.sink_text = t.sink_text GROUP BY 1""",
-    "corpus_match": """
-WITH f AS (SELECT DISTINCT finding_id, lower(coalesce(rule_id, '')) AS rule, lower(coalesce(path, '')) AS path,
-  lower(coalesce(source.snippet, '')) AS source, lower(coalesce(sink.snippet, '')) AS sink FROM findings),
-h AS (
-  SELECT 'c1' AS case_id, finding_id, 110 AS score FROM f WHERE contains(rule, 'sql-text') AND contains(sink, '$wpdb')
-  UNION ALL SELECT 'c2', finding_id, 120 FROM f WHERE contains(rule, 'markup') AND (contains(source, '$_cookie') OR contains(source, 'get_post_meta'))
-  UNION ALL SELECT 'c3', finding_id, 50 FROM f WHERE contains(path, 'includes/') AND contains(sink, 'wp_redirect')
-), cases AS (SELECT unnest(['c1', 'c2', 'c3', 'c4']) AS case_id)
-SELECT c.case_id, CASE WHEN count(h.finding_id) > 0 THEN 'match' ELSE 'miss' END AS status, count(h.finding_id) AS n,
-  min(h.finding_id) AS first_id, max(h.score) AS score
-FROM cases c LEFT JOIN h ON c.case_id = h.case_id GROUP BY c.case_id""",
-    "alias_counts": """
-SELECT CASE WHEN rule_id = 'sql-text-from-request' THEN 'sql'
-  WHEN rule_id IN ('wp-request-value-into-markup', 'wp-stored-meta-into-markup') THEN 'markup'
-  WHEN rule_id IN ('wp-option-write-without-role', 'wp-post-status-write-open', 'wp-user-meta-write-open') THEN 'write'
-  WHEN rule_id IN ('file-path-from-request', 'archive-entry-path-unchecked', 'template-name-from-request') THEN 'path'
-  END AS family, count(*) AS n FROM findings GROUP BY 1 HAVING family IS NOT NULL""",
     "hook_patterns": """
 WITH e AS (SELECT unnest(entrypoints).name AS name FROM findings), p AS (SELECT unnest(['save_', 'admin_post_', 'wp_', 'load', 'order_']) AS prefix)
 SELECT prefix, count(*) AS n, count(DISTINCT name) AS n_names FROM e JOIN p ON starts_with(name, prefix) GROUP BY prefix""",

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.functions.access import TIER_WEIGHT, derive_access, exploitability
+from factloom.functions.access import TIER_WEIGHT, derive_access
+from factloom.functions.scores import exploitability
 from factloom.functions.text import controls_host, fingerprint, has_string_conversion, plain_text, tolerant_string, url_host
 from factloom.operators import closure, findings, joins, lattice
 
@@ -85,7 +86,7 @@ def test_components(spark):
 def test_nearest_owner_and_passes(spark):
     parents = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("c", "z")], "node string, parent string")
     owners = spark.createDataFrame([("a",), ("z",)], "node string")
-    assert rows(closure.nearest_owner(parents, owners, 5)) == [("a", "a", 0), ("b", "a", 1), ("c", "z", 1), ("z", "z", 0)]
+    assert rows(closure.nearest_owner(parents, owners)) == [("a", "a", 0), ("b", "a", 1), ("c", "z", 1), ("z", "z", 0)]
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
     facts = spark.createDataFrame([(0, "f")], "node int, fact string")
     assert closure.propagate_sets(chain, facts, 8).agg(F.max("node")).first()[0] == 8
@@ -183,6 +184,18 @@ def test_findings_operators(spark):
     assert rows(findings.key_diff(a, b, ["k"])) == [("x", "removed"), ("y", "common"), ("z", "added")]
     t = spark.createDataFrame([("g", v) for v in "aabbbcd"] + [("g", None)], "g string, v string")
     assert rows(findings.top_values(t, ["g"], "v", 3)) == [("g", ["b", "a", "c"])]
-    m = spark.createDataFrame([(1, "SQL rule", None), (2, "other", "x")], "id int, r string, p string")
-    hit = findings.match_cases(m, [{"case_id": "c", "rule": [" sql "]}, {"case_id": "d", "rule": ["sql"], "path": ["x"]}], {"rule": F.col("r"), "path": F.col("p")})
-    assert [(r.id, r.case_id, r.score) for r in hit.collect()] == [(1, "c", 100)]
+
+
+def test_long_chains_are_walked_to_their_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "src int, dst int")
+    assert max(r.depth for r in closure.reach(edges, spark.createDataFrame([(0,)], "node int")).collect()) == 30
+    parents = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [("x", "y"), ("y", "x")], "node string, parent string")
+    found = {r.node: (r.owner, r.depth) for r in closure.nearest_owner(parents, spark.createDataFrame([("c30",)], "node string")).collect()}
+    assert found["c00"] == ("c30", 30) and len(found) == 31 and "x" not in found
+
+
+def test_tiered_counts_equal_pairs(spark):
+    left = spark.createDataFrame([(1, "f", "k"), (2, "f", "z"), (3, "g", "k"), (4, None, "k")], "id int, fam string, key string")
+    right = spark.createDataFrame([("f", "k"), ("f", "k"), ("f", "y"), (None, "k")], "fam string, key string")
+    got = sorted((r.id, r.tier, r.n_matches) for r in joins.tiered_counts(left, right, [["fam", "key"], ["fam"]]).collect())
+    assert got == [(1, 1, 2), (2, 2, 3)]
