@@ -3,13 +3,15 @@
 Labelling functions look at a document's lexicon (the longest run of
 sentences, list items or names that speak of one subject), its address (the
 kind of plugin it belongs to), its sections (paragraphs, lists and blocks that
-speak of nothing else) and its source. Their accuracies are learned by a
-latent model over the counts of vote patterns of all documents, in which the
-labelled documents are known; subjects are assigned from the posterior.
+speak of nothing else), its headings and its source. Their accuracies are
+learned by a latent model over the counts of vote patterns of all documents,
+in which the labelled documents are known; subjects are assigned from the
+posterior.
 
 The lexicon itself is a classifier: it is fitted on a bounded sample of
-documents, labelled ones first (``FIT_DOCUMENTS``). Everything else covers all
-documents and whole texts.
+labelled documents (``FIT_DOCUMENTS``), so its size has that bound as well.
+Everything else covers all documents and whole texts. Each text is parsed
+once, into a table that both the fit and the votes read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from factloom.session import stage
 
-#: Most documents that the lexicon is fitted on: labelled ones first, then others with what the lexicon says of them.
+#: Most labelled documents that the lexicon and the associations are fitted on.
 FIT_DOCUMENTS = 20_000
-#: Most entries of the lexicon, by weight.
-LEXICON_ENTRIES = 300_000
+#: Signs between the paragraphs and between the sentences of a parsed text.
+PARAGRAPH, SENTENCE = "\x1d", "\x1e"
 #: Least share of one subject in the uses of an entry.
 PURITY = 0.6
 #: A sentence speaks of a subject from this score on, and this far ahead of the next.
@@ -47,6 +48,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.lower().translate(_LETTERS))
     return "".join(c for c in text if not unicodedata.combining(c))
 
@@ -88,7 +91,27 @@ def parse(text: str) -> tuple[list[list[str]], list[str]]:
     return paragraphs, headings
 
 
-@lru_cache(maxsize=50_000)
+def parsed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``body`` (sentences in paragraphs) and ``headings`` in place of ``text``."""
+    kept = [(n, t) for n, t in documents.dtypes if n != "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies, titles = [], []
+            for text in batch["text"]:
+                paragraphs, headings = parse(text.replace(PARAGRAPH, " ").replace(SENTENCE, " "))
+                bodies.append(PARAGRAPH.join(SENTENCE.join(p) for p in paragraphs))
+                titles.append(SENTENCE.join(headings))
+            yield batch.drop(columns=["text"]).assign(body=bodies, headings=titles)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept) + ", body string, headings string"
+    return documents.select(*(n for n, _ in kept), "text").mapInPandas(run, schema)
+
+
+def paragraphs_of(body: str) -> list[list[str]]:
+    return [p.split(SENTENCE) for p in body.split(PARAGRAPH)] if body else []
+
+
 def grams(sentence: str) -> tuple[str, ...]:
     """Distinct runs of one, two and three words."""
     w = _WORD.findall(fold(sentence))
@@ -100,6 +123,7 @@ class Lexicon:
 
     def __init__(self, entries: dict[str, tuple[int, float]], subjects: int):
         self.entries, self.subjects, self.memo = entries, subjects, {}
+        self.subject_memo: dict[str, int] = {}
 
     def scores(self, sentence: str) -> list[float]:
         got = self.memo.get(sentence)
@@ -115,10 +139,19 @@ class Lexicon:
 
     def speaks_of(self, sentence: str) -> int:
         """The subject of a sentence, or -1."""
-        s = self.scores(sentence)
-        best = max(range(self.subjects), key=s.__getitem__)
-        rest = max((x for i, x in enumerate(s) if i != best), default=0.0)
-        return best if s[best] >= LEAST_SCORE and s[best] - rest >= LEAD else -1
+        got = self.subject_memo.get(sentence)
+        if got is None:
+            s: dict[int, float] = {}
+            for g in grams(sentence):
+                if e := self.entries.get(g):
+                    s[e[0]] = s.get(e[0], 0.0) + e[1]
+            best = min(s, key=lambda i: (-s[i], i), default=-1)
+            rest = max((x for i, x in s.items() if i != best), default=0.0)
+            got = best if s and s[best] >= LEAST_SCORE and s[best] - rest >= LEAD else -1
+            if len(self.subject_memo) > 100_000:
+                self.subject_memo.clear()
+            self.subject_memo[sentence] = got
+        return got
 
 
 def _responsibilities(paragraph: list[str], allowed: list[int] | None, lexicon: Lexicon | None, subjects: int) -> list[float]:
@@ -135,28 +168,26 @@ def _responsibilities(paragraph: list[str], allowed: list[int] | None, lexicon:
 
 
 def fit_lexicon(sample: DataFrame, subjects: list[str], rounds: int = 3) -> Lexicon:
-    """Fit on ``sample``: text and labels (array of subject numbers; null where unknown).
+    """Fit on ``sample``: body and labels (array of subject numbers).
 
-    The first round spreads a labelled document evenly over its subjects, the
-    next ones by what the lexicon says of each paragraph; the last one also
-    takes in documents without labels. Uses count once a document and subject.
+    The first round spreads a document evenly over its subjects, the next ones
+    by what the lexicon says of each paragraph. Uses count once a document and
+    subject. The lexicon is read into the driver and handed to the workers: it
+    is as large as the sample makes it, and the sample is bounded.
     """
     n = len(subjects)
     lexicon: Lexicon | None = None
-    for k in range(rounds):
-        last = k == rounds - 1
+    for _ in range(rounds):
         shared = sample.sparkSession.sparkContext.broadcast(lexicon.entries if lexicon else None)
 
-        def count(batches: Iterator[pd.DataFrame], shared=shared, last=last) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = Lexicon(shared.value, n) if shared.value is not None else None
             uses: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
             for batch in batches:
-                for text, labels in zip(batch["text"], batch["labels"]):
-                    allowed = None if labels is None else [int(x) for x in labels]
-                    if allowed is None and not last:
-                        continue
+                for body, labels in zip(batch["body"], batch["labels"]):
+                    allowed = [int(x) for x in labels]
                     seen: dict[str, list[float]] = {}
-                    for paragraph in parse(text)[0]:
+                    for paragraph in paragraphs_of(body):
                         r = _responsibilities(paragraph, allowed, own, n)
                         if not any(r):
                             continue
@@ -170,7 +201,7 @@ def fit_lexicon(sample: DataFrame, subjects: list[str], rounds: int = 3) -> Lexi
             rows = [(g, i, x) for g, of in uses.items() for i, x in of.items()]
             yield pd.DataFrame(rows, columns=["gram", "subject", "uses"])
 
-        counted = sample.select("text", "labels").mapInPandas(count, "gram string, subject int, uses double")
+        counted = sample.select("body", "labels").mapInPandas(count, "gram string, subject int, uses double")
         best = (
             counted.groupBy("gram", "subject")
             .agg(F.sum("uses").alias("uses"))
@@ -179,8 +210,6 @@ def fit_lexicon(sample: DataFrame, subjects: list[str], rounds: int = 3) -> Lexi
             .withColumn("purity", (F.col("most") + 0.2 / n) / (F.col("all") + 0.2))
             .where((F.col("all") >= 1.5) & (F.col("purity") >= PURITY))
             .withColumn("weight", (F.log(F.col("purity") * n)) * (F.col("purity") - 0.5) * F.least(F.lit(1.0), F.col("all") / 4))
-            .orderBy(F.desc("weight"), "gram")
-            .limit(LEXICON_ENTRIES)
         )
         lexicon = Lexicon({r.gram: (r.subject, r.weight) for r in best.select("gram", "subject", "weight").toLocalIterator()}, n)
         shared.unpersist()
@@ -215,13 +244,14 @@ def level(lift: float | None) -> int:
 
 
 #: Names of the labelling functions and their levels.
-FUNCTIONS = {"lexicon": 5, "address": 4, "section": 3, "source": 4}
+FUNCTIONS = {"lexicon": 5, "address": 4, "section": 3, "heading": 2, "source": 4}
 
 
 def votes(documents: DataFrame, lexicon: Lexicon, address: dict, source: dict, subjects: int) -> DataFrame:
-    """(doc_id, subject, pattern) of every document and subject.
+    """(doc_id, patterns): for every document the pattern of each subject.
 
-    A pattern is the number made of the levels of all functions.
+    ``documents``: doc_id, body, headings, address, source. A pattern is the
+    number made of the levels of all functions.
     """
     shared = documents.sparkSession.sparkContext.broadcast((lexicon.entries, address, source))
 
@@ -230,34 +260,39 @@ def votes(documents: DataFrame, lexicon: Lexicon, address: dict, source: dict, s
         own = Lexicon(entries, subjects)
         for batch in batches:
             out = []
-            for doc, text, addr, src in zip(batch["doc_id"], batch["text"], batch["address"], batch["source"]):
-                paragraphs, _ = parse(text)
+            columns = (batch[c] for c in ("doc_id", "body", "headings", "address", "source"))
+            for doc, body, headings, addr, src in zip(*columns):
+                paragraphs = [[own.speaks_of(s) for s in p] for p in paragraphs_of(body)]
+                titles = {own.speaks_of(h) for h in headings.split(SENTENCE)}
                 runs, whole, last, length = [0] * subjects, Counter(), -1, 0
                 for p in paragraphs:
-                    about = Counter(k for s in p if (k := own.speaks_of(s)) >= 0)
+                    about = Counter(k for k in p if k >= 0)
                     if len(about) == 1 and sum(about.values()) > 1:
                         whole.update(about.keys())
-                    for s in p:
-                        if (k := own.speaks_of(s)) >= 0:
+                    for k in p:
+                        if k >= 0:
                             length = length + 1 if k == last else 1
                             last = k
                             runs[k] = max(runs[k], length)
                 a, b = by_address.get(addr), by_source.get(src)
+                patterns = []
                 for i in range(subjects):
                     levels = (
                         min(runs[i], 4),
                         level(a[i] if a else None),
                         min(whole[i], 2),
+                        int(i in titles),
                         level(b[i] if b else None),
                     )
                     pattern = 0
                     for x, size in zip(levels, FUNCTIONS.values()):
                         pattern = pattern * size + x
-                    out.append((doc, i, pattern))
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "pattern"])
+                    patterns.append(pattern)
+                out.append((doc, patterns))
+            yield pd.DataFrame(out, columns=["doc_id", "patterns"])
 
-    return documents.select("doc_id", "text", "address", "source").mapInPandas(
-        run, "doc_id bigint, subject int, pattern int"
+    return documents.select("doc_id", "body", "headings", "address", "source").mapInPandas(
+        run, "doc_id bigint, patterns array<int>"
     )
 
 
@@ -311,7 +346,8 @@ def document_subjects(
 
     ``documents``: doc_id, text, source, slug; ``labels``: doc_id, subject;
     ``subjects``: subject (a small fixed list; it is collected and refused
-    beyond 1,000). Null and empty texts have no subject. Equal texts under
+    beyond 1,000). At most ``fit_documents`` of the labelled documents are
+    fitted on, a fixed choice by hash. Null and empty texts have no subject. Equal texts under
     different doc_ids get equal votes for their text. Without any labels there
     is no lexicon and no document has a subject. Extra columns are ignored.
     """
@@ -330,20 +366,19 @@ def document_subjects(
         labels.where(F.col("subject").isin(listed)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.array_sort(F.collect_set(F.try_element_at(numbers, F.col("subject")))).alias("labels"))
     )
-    joined = docs.join(known, "doc_id", "left")
-    order = joined.select("doc_id", F.col("labels").isNull().alias("free"), F.xxhash64("doc_id").alias("h"))
-    chosen = order.orderBy("free", "h", "doc_id").limit(fit_documents).select("doc_id")
     if not listed:
         return docs.select("doc_id", F.lit("").alias("subject"), F.lit(0.0).alias("posterior")).limit(0)
-    sample = stage(joined.join(chosen.distinct(), "doc_id", "left_semi"), "subject-sample", 24)
+    docs = stage(parsed(docs), "subject-parsed")
+    known = stage(known, "subject-labels")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
+    sample = stage(docs.join(chosen, "doc_id"), "subject-sample", 24)
     lexicon = fit_lexicon(sample, listed)
     address = fit_associations(sample.withColumn("address", F.nullif("address", F.lit(""))), "address", n)
     source = fit_associations(sample.withColumn("source", F.nullif("source", F.lit(""))), "source", n)
     voted = stage(votes(docs, lexicon, address, source, n), "subject-votes")
     truth = F.when(F.col("labels").isNotNull(), F.array_contains("labels", F.col("subject")).cast("int"))
-    patterns = (
-        voted.join(known, "doc_id", "left").groupBy("pattern", truth.alias("truth")).agg(F.count(F.lit(1)).alias("n")).collect()
-    )  # at most levels x 3 rows
+    each = voted.join(known, "doc_id", "left").select("labels", F.posexplode("patterns").alias("subject", "pattern"))
+    patterns = each.groupBy("pattern", truth.alias("truth")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most levels x 3 rows
     posterior = learn_accuracies([(r.pattern, r.truth, r.n) for r in patterns])
     merged: dict[int, float] = {}
     for p, x in posterior.items():
@@ -354,7 +389,8 @@ def document_subjects(
     table = F.create_map(*(x for p, v in kept.items() for x in (F.lit(p), F.lit(v))))
     names = F.array(*map(F.lit, listed))
     return (
-        voted.withColumn("posterior", F.try_element_at(table, F.col("pattern")))
+        voted.select("doc_id", F.posexplode("patterns").alias("subject", "pattern"))
+        .withColumn("posterior", F.try_element_at(table, F.col("pattern")))
         .where(F.col("posterior").isNotNull())
         .select("doc_id", F.element_at(names, F.col("subject") + 1).alias("subject"), "posterior")
     )

@@ -1,6 +1,7 @@
+import math
 import random
 
-from factloom.llm.subjects import decode, document_subjects, learn_accuracies, parse
+from factloom.llm.subjects import FUNCTIONS, decode, document_subjects, learn_accuracies, paragraphs_of, parse, parsed
 
 TERMS = {
     "boats": "anchor rope|harbour light|sail cloth|keel bolt|tiller arm|mast step".split("|"),
@@ -21,6 +22,14 @@ def test_parse_reads_blocks():
     assert paragraphs == [["One.", "Two!"], ["- item a", "- item b"], ["rye dough", "yeast jar"]]
 
 
+def test_parsed_table_holds_what_parse_gives(spark):
+    texts = ["# A head\n\nOne. Two!\n- item a\n- item b\n\nThree.", "\x1d odd \x1e signs", "```\ncode\n```", "x" * 30_000]
+    rows = parsed(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in rows:
+        paragraphs, headings = parse(texts[r.doc_id].replace("\x1d", " ").replace("\x1e", " "))
+        assert paragraphs_of(r.body) == paragraphs and [h for h in r.headings.split("\x1e") if h] == headings
+
+
 def test_subjects_of_held_out_documents(spark):
     rng = random.Random(6)
     names = sorted(TERMS)
@@ -55,10 +64,10 @@ def test_subjects_without_labels_or_documents(spark):
 
 
 def test_accuracies_follow_known_truth():
-    patterns = []
+    patterns, below = [], math.prod(FUNCTIONS.values()) // FUNCTIONS["lexicon"]
     for lexicon, yes, no in ((0, 5, 900), (1, 2, 98), (4, 95, 0)):
-        p = lexicon * 4 * 3 * 4
+        p = lexicon * below
         patterns += [(p, 1, yes), (p, 0, no), (p, None, 10 * (yes + no))]
         assert decode(p)[0] == lexicon
     posterior = learn_accuracies(patterns)
-    assert posterior[4 * 48] > 0.9 and posterior[48] < 0.5 and posterior[0] < 0.1
+    assert posterior[4 * below] > 0.9 and posterior[below] < 0.5 and posterior[0] < 0.1
