@@ -11,8 +11,9 @@ from __future__ import annotations
 from factloom.functions import sql_text
 from factloom.operators import taint_guards as G
 from factloom.operators import taint_models as M
+from factloom.operators import taint_surfaces as S
 
-PERSISTENT, PATH_SAFE, HTML_SAFE, HTML_UNSAFE, NUMERIC = 1, 2, 4, 8, 16
+PERSISTENT, PATH_SAFE, HTML_SAFE, HTML_UNSAFE, NUMERIC, SECRET = 1, 2, 4, 8, 16, 32
 #: Most segments of a path; a longer one is cut, which keeps recursion finite.
 DEPTH = 16
 _FUNCTIONS = M.by_name(M.FUNCTION_SINKS, 2)
@@ -101,6 +102,10 @@ class Stop(Exception):
     """The path ends: return, exit, throw."""
 
 
+class Exit(Stop):
+    """The request ends with the path."""
+
+
 class Interpreter:
     def __init__(self, record: dict, summaries: dict[str, list[dict]], strict: bool = False):
         self.r = record
@@ -116,6 +121,7 @@ class Interpreter:
         self.registered: set[tuple] = set()
         self.reads: set[tuple] = set()
         self.props: set[tuple] = set()
+        self.returns_none = True
         self.given: list[tuple] = []
         self.constants: dict[str, str] = record.get("constants") or {}
         self.real_paths: set[str] = set()
@@ -142,8 +148,11 @@ class Interpreter:
         own = (self.r["class"] or "").lower() or None
         guards = G.Guards(self.r["body"], own, self.class_name, self.from_request)
         self.checks, self.assigned = guards.found, guards.assigned
+        ends = False
         try:
             self.walk(self.r["body"])
+        except Exit:
+            ends = self.returns_none
         except Stop:
             pass
         return {
@@ -158,6 +167,8 @@ class Interpreter:
             "type": self.returns.type,
             "text": self.returns.text,
             "props": sorted(self.props),
+            "facts": S.facts(self.r, self.class_name, self.r["lines"]),
+            "ends": ends,
             "given": sorted({(_plain_text(k), f, *place) for k, f, place in self.given}),
         }
 
@@ -242,17 +253,18 @@ class Interpreter:
 
     def branches(self, bodies: list) -> None:
         """Run each body on its own copy of the state and join what goes on; end if nothing does."""
-        start, left = self.env, []
+        start, left, exits = self.env, [], bool(bodies)
         for body in bodies:
             self.env = dict(start)
             try:
                 body() if callable(body) else self.walk(body)
-            except Stop:
+            except Stop as stop:
+                exits = exits and isinstance(stop, Exit)
                 continue
             left.append(self.env)
         if not left:
             self.env = start
-            raise Stop
+            raise Exit if exits else Stop
         joined = left[0]
         for other in left[1:]:
             for k in joined.keys() | other.keys():
@@ -283,6 +295,7 @@ class Interpreter:
                 continue
             safe = G.safe_in_branch(cond, self.real_paths, self.text)
             bodies.append(self.proved(safe, body) if safe else body)
+            self.upload_test(cond, body)
             if known is True:
                 break
         else:
@@ -292,6 +305,16 @@ class Interpreter:
             if name := G.equals_its_realpath(arms[0][0], G.DIFFERENT):
                 self.mark_paths({name})
 
+    def upload_test(self, cond, body) -> None:
+        """An upload's type set because its name holds a piece of text."""
+        first = self.r["params"][0][0] if self.r["params"] else None
+        names = S.unsafe_upload_test(cond) if first else []
+        for n in body if names else ():
+            target = n[2][2] if n[0] == "expr" and n[2][0] == "assign" else None
+            if target and target[0] == "index" and target[2] == ("var", target[2][1], first) and literal(target[3]) in ("ext", "type"):
+                for name in names:
+                    self.emit(M.UPLOAD_API, "surface", Value({("S", *self.place(name[1])): 0}), target[1])
+
     def mark_paths(self, names: set[str]) -> None:
         for name in names:
             if name in self.env:
@@ -347,11 +370,16 @@ class Interpreter:
         self.branches(bodies)
 
     def s_return(self, s) -> None:
+        self.returns_none = False
         if s[2] is not None:
             v = self.eval(s[2])
             kind = v.type
             if s[2][0] == "var" and s[2][2] in self.sanitized:
                 v = v.flat(PATH_SAFE)
+            for token in S.token_values(s[2]):
+                if not S.validates_token_before(self.r["body"], s[1]):
+                    fresh = {k: f for k, f in self.eval(token).all().items() if not f & PERSISTENT}
+                    self.emit(M.TOKEN, "surface", Value(fresh), token[1])
             self.given += [(k, f, self.place(s[1])) for k, f in v.all().items()]
             self.returns = self.returns.join(v)
             self.returns.type = kind
@@ -542,7 +570,7 @@ class Interpreter:
     def e_exit(self, e) -> Value:
         for a in e[2]:
             self.output(self.eval(a), e[1])
-        raise Stop
+        raise Exit
 
     def e_eval(self, e) -> Value:
         for a in e[2]:
@@ -664,6 +692,8 @@ class Interpreter:
                     for k, f in back(key).items():
                         self.store(family, name, k, f | flags, tuple(place))
             out.type = s.get("type") or out.type
+        if all(s.get("ends") for s in known):
+            raise Exit
         return out
 
     def store(self, family: str, name: str, key: tuple, flags: int, place: tuple) -> None:
@@ -690,11 +720,11 @@ class Interpreter:
         if name in ("wp_die", "die"):
             if args:
                 self.output(args[0], line)
-            raise Stop
+            raise Exit
         if name in M.JSON_OUTPUT:
             if args and self.record_read:
                 self.output_records(args[0], line)
-            raise Stop
+            raise Exit
         if self.hooks(name, e, args):
             return args[1] if name.startswith("apply_filters") and len(args) > 1 else Value()
         if name in M.NUMERIC:
@@ -747,7 +777,8 @@ class Interpreter:
         for _, family, key_at in _READS.get(name, []):
             key = self.text(e[3][key_at]) if key_at < len(e[3]) else None
             self.reads.add((family, key or "*", line))
-            return Value({("S", *self.place(line)): PERSISTENT})
+            secret = SECRET if family == "option" and S.has(key, S.SECRET_KEYS) else 0
+            return Value({("S", *self.place(line)): PERSISTENT | secret})
         if name in M.HTML_UNSAFE:
             return _union(args).flat(HTML_UNSAFE)
         if name in M.HTML_SAFE:
@@ -812,6 +843,11 @@ class Interpreter:
                     self.entries.add((ref, "rest", path, "unauthenticated" if open_ else "permission_callback"))
                     if guard is not None and (other := self.callback(guard)):
                         self.registered.add((f"g:{ref}", other))
+            shown = S.items(given[2]).get("show_in_index")
+            if shown is None or G.is_bool(shown) is not False:
+                for key, flags in args[0].join(args[1]).all().items():
+                    if flags & SECRET:
+                        self.emit_one(M.DISCLOSURE, "surface", key, flags, self.place(e[1]), self.r["key"])
             return True
         return False
 

@@ -23,6 +23,7 @@ from factloom.functions.access import ROLE_LEVEL, access_severity, derive_access
 from factloom.functions.scores import exploitability
 from factloom.operators import taint_guards as G
 from factloom.operators import taint_models as M
+from factloom.operators import taint_surfaces
 from factloom.operators.closure import propagate_sets, reach
 from factloom.operators.taint_interpreter import NUMERIC, Interpreter, constant_name, nameless
 from factloom.session import stage
@@ -35,6 +36,7 @@ HELPER_ROUNDS = 3
 #: Depth and stack of the evaluation; the reader refuses deeper programs first.
 DEPTH, STACK = 100_000, 512 << 20
 #: Operations of sinks that a scan looks for.
+#: ``surface``, for signals of weak design, is left out unless it is asked for.
 OPERATIONS = ("include", "read", "open", "delete", "write", "output", "sql", "action", "call")
 #: Lines before a sink within which a local check counts.
 LOCAL_LINES = 48
@@ -576,7 +578,9 @@ def scan(
     stored_access, score.
     """
     callables = stage(extract_program(files.where("path is not null"), fail_fast), "callables")
+    prune = prune and "surface" not in operations  # signals need callables without any sink
     summaries, edges, meaning = summarise(callables, max_passes, strict, prune)
+    c = stage(contexts(summaries, edges, meaning), "contexts")
     flow = F.from_json(F.get_json_object("summary", "$.sinks"), "array<string>")
     parsed = summaries.select("root", "key", F.explode(flow).alias("x")).select(
         "root",
@@ -599,7 +603,16 @@ def scan(
     flows = parsed.where((F.col("kind") == "S") & said.isin(*operations)).drop("kind").distinct()
     if "sql" in operations:
         flows = flows.unionByName(query_parts(summaries, meaning).select(*flows.columns)).distinct()
-    c = contexts(summaries, edges, meaning)
+    if "surface" in operations:
+        entered = c.where("what = 'entry'").select("root", "key", "kind").distinct()
+        more = taint_surfaces.signals(summaries, edges, meaning, entered, callables)
+        flows = flows.unionByName(more.select(*flows.columns)).distinct()
+        rest = entered.where("kind = 'rest'").select("root", F.col("key").alias("callable"))
+        filters = _facts(summaries, "registered").where(F.col("x")[0] == f"h:{M.UPLOAD_FILTER}").select("root", F.col("x")[1].alias("ref"))
+        filters = filters.join(meaning, ["root", "ref"]).select("root", F.col("callee").alias("callable"))
+        allowed = rest.select("*", F.lit(M.TOKEN).alias("rule")).unionByName(filters.select("*", F.lit(M.UPLOAD_API).alias("rule"))).distinct()
+        bound = F.col("rule").isin(M.TOKEN, M.UPLOAD_API)
+        flows = flows.where(~bound).unionByName(flows.where(bound).join(allowed, ["root", "callable", "rule"], "left_semi").select(*flows.columns))
     is_check = lambda k: (F.col("what") == "check") & (F.col("kind") == k)
     low = F.coalesce(role_level(minimum_role(F.lower("name"))) <= ROLE_LEVEL["subscriber"], F.lit(False))
     privileged = is_check("capability") & ~low

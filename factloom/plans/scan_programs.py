@@ -260,3 +260,35 @@ def large_programs(spark: SparkSession, programs: int = LARGE_PROGRAMS) -> DataF
         files[f"sum{i}.php"] = _SHUT + body
     rows = spark.createDataFrame(list(files.items()), "path string, source string")
     return rows.withColumn("root", F.explode(F.sequence(F.lit(0), F.lit(programs - 1)))).selectExpr("concat('large', root) AS root", "path", "source")
+
+
+#: Programs with signals of weak design, each with its counterpart.
+SURFACES: dict[str, dict[str, str]] = {
+    "secret_route": {"a.php": _SHUT + "$t = get_option('api_token');\nregister_rest_route('x/v1', '/hook/' . $t, ['callback' => 'c']);"},
+    "secret_hidden": {"a.php": _SHUT + "$t = get_option('api_token');\nregister_rest_route('x/v1', '/hook/' . $t, ['callback' => 'c', 'show_in_index' => false]);\nregister_rest_route('x/v1', '/' . get_option('title'), ['callback' => 'c']);"},
+    "token_open": {"a.php": _SHUT + "register_rest_route('x/v1', '/t', ['callback' => 't']);\nfunction t($r) { return rest_ensure_response(['token' =>\ncreate_token($_POST['scope'])]); }"},
+    "token_validated": {"a.php": _SHUT + "register_rest_route('x/v1', '/t', ['callback' => 't']);\nfunction t($r) {\nvalidate_token($token);\nreturn ['token' => create_token($_POST['scope'])]; }"},
+    "token_no_route": {"a.php": _SHUT + "add_action('wp_ajax_t', 't');\nfunction t($r) { return ['token' => create_token($_POST['scope'])]; }"},
+    "link_issued": {"a.php": _SHUT + "class L { function issue() { wp_send_json(['login_url' =>\nhome_url() . '/?magic_login=' . $k]); }\nfunction take() { if ($_GET['magic_login']) {\nwp_set_auth_cookie(1); } } }"},
+    "link_other_key": {"a.php": _SHUT + "class L { function issue() { wp_send_json(['login_url' => home_url() . '/?magic_login=' . $k]); }\nfunction take() { if ($_GET['page']) { wp_set_auth_cookie(1); } } }"},
+    "oauth_open": {"a.php": _SHUT + "class O { function __construct() { add_action('init', [$this, 'handle_callback']); }\nfunction handle_callback() { $c = $_GET['code'];\n$this->finish($c); }\nfunction finish($c) { $this->sign_in(); }\nfunction sign_in() {\nwp_set_auth_cookie(1); } }"},
+    "oauth_closed": {"a.php": _SHUT + "class O { function __construct() { add_action('init', [$this, 'handle_callback']); }\nfunction handle_callback() { $c = $_GET['code'];\nif (!get_option('users_can_register')) { return; }\n$this->sign_in($c); }\nfunction sign_in() { wp_set_auth_cookie(1); } }"},
+    "name_weak": {"a.php": _SHUT + "class N { function uid($n) {\nreturn substr(str_shuffle(str_repeat('0123456789', $n)), 0, $n); }\nfunction export() { $u = $this->uid(8);\nreturn '/tmp/' . $u . '.sql'; } }"},
+    "name_strong": {"a.php": _SHUT + "class N { function uid($n) {\nreturn substr(str_shuffle(str_repeat('0123456789', $n)), 0, $n); }\nfunction export() { $u = $this->uid(12);\nreturn '/tmp/' . $u . '.sql'; } }"},
+    "upload_piece": {"a.php": _SHUT + "add_filter('wp_check_filetype_and_ext', 'u');\nfunction u($data, $file, $filename) {\nif (strpos($filename, '.svg') !== false) {\n$data['ext'] = 'svg'; } return $data; }"},
+    "upload_exact": {"a.php": _SHUT + "add_filter('wp_check_filetype_and_ext', 'u');\nfunction u($data, $file, $filename) { $ext = pathinfo($filename, 4);\nif (strpos($filename, '.svg') !== false && 'svg' === $ext) { $data['ext'] = 'svg'; } return $data; }"},
+}
+#: What must be signalled: case, rule, place of the sink, line of the source.
+EXPECTED_SURFACES = """
+secret_route wp-rest-public-data-disclosure-surface a.php:3 2
+token_open wp-rest-token-issuance-surface a.php:4 4
+link_issued wp-issued-auth-link-surface a.php:5 3
+oauth_open wp-public-oauth-callback-auth-surface a.php:7 3
+name_weak predictable-security-identifier-surface a.php:5 3
+upload_piece upload-api-surface a.php:5 4
+"""
+
+
+def surface_files(spark: SparkSession) -> DataFrame:
+    rows = [(root, path, source) for root, files in SURFACES.items() for path, source in files.items()]
+    return spark.createDataFrame(rows, "root string, path string, source string")

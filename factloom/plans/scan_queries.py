@@ -37,6 +37,12 @@ def scan_cases(spark, d):
     )
 
 
+def scan_surfaces(spark, d):
+    """Signals of weak design in programs of a few lines, each beside a counterpart that gives none."""
+    place = F.concat_ws(":", "sink.path", F.col("sink.line").cast("string"))
+    return scan(P.surface_files(spark), ("surface",)).select(F.col("root").alias("case_id"), "rule_id", place.alias("place"), F.col("source.line").alias("source_line"))
+
+
 def scan_large(spark, d):
     """Findings of twenty programs of 1,613 callables each, a fifth of them on a way from an entry to a sink."""
     return scan(P.large_programs(spark).repartition(32)).select(F.col("root").alias("case_id"), "callable", "rule_id", "access")
@@ -73,7 +79,7 @@ def job_state_machine(spark, d):
     return latest_states(e)
 
 
-QUERIES = {f.__name__: f for f in (scan_cases, scan_facts, scan_large, excerpt_callables, excerpt_findings, job_state_machine)}
+QUERIES = {f.__name__: f for f in (scan_cases, scan_facts, scan_surfaces, scan_large, excerpt_callables, excerpt_findings, job_state_machine)}
 
 _SEVERITY = "CASE access WHEN 'unauthenticated' THEN 'critical' WHEN 'authenticated' THEN 'high' WHEN 'nonce_only' THEN 'medium' WHEN 'capability_checked' THEN 'low' ELSE 'info' END"
 
@@ -82,6 +88,8 @@ ORACLES = {
 SELECT case_id, rule_id, place, source_line::INT AS source_line, access, {_SEVERITY} AS severity, nullif(capability, '-') AS required_capability,
   CASE capability WHEN 'manage_options' THEN 'administrator' WHEN 'read' THEN 'subscriber' END AS minimum_role, score::INT AS score
 FROM (VALUES {P.values(P.EXPECTED, 7)}) t(case_id, rule_id, place, source_line, access, capability, score)""",
+    "scan_surfaces": f"""
+SELECT case_id, rule_id, place, source_line::INT AS source_line FROM (VALUES {P.values(P.EXPECTED_SURFACES, 4)}) t(case_id, rule_id, place, source_line)""",
     "scan_large": f"""
 SELECT 'large' || p AS case_id, 'f:show_' || i AS callable, 'wp-reflected-xss-direct-request-output' AS rule_id, 'unauthenticated' AS access
 FROM range({P.LARGE_PROGRAMS}) a(p), range({P.LARGE_RELEVANT // 3}) b(i)""",
