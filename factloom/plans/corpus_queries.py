@@ -14,9 +14,10 @@ from factloom.operators.tree_aggregate import (
     heavy_keys,
     max_state,
     min_state,
+    sum_state,
     tree_aggregate,
 )
-from factloom.session import load
+from factloom.session import load, stage
 
 #: A value is heavy from this share of its table's rows on.
 HEAVY_SHARE = 0.04
@@ -48,12 +49,15 @@ def p1_rule_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_slug_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Results of each slug, with an approximate number of jobs by a sketch of fixed size."""
-    return tree_aggregate(
-        load(spark, d, "findings"),
-        ["slug"],
-        {"n_rows": count_state(), "jobs_estimate": distinct_state(F.col("job_id"))},
-    )
+    """Results of each slug and the number of its jobs, both counted whole: jobs by the tree first, then slugs over them."""
+    by_job = stage(tree_aggregate(load(spark, d, "findings"), ["slug", "job_id"], {"n_rows": count_state()}), "slug-jobs")
+    jobs = count_state(F.col("job_id").isNotNull())
+    return tree_aggregate(by_job, ["slug"], {"n_rows": sum_state(F.col("n_rows")), "n_jobs": jobs, "most_rows": max_state(F.col("n_rows"))})
+
+
+def p1_slug_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct jobs of each slug by a sketch of fixed size: an estimate beside ``p1_slug_profile``."""
+    return tree_aggregate(load(spark, d, "findings"), ["slug"], {"jobs_estimate": distinct_state(F.col("job_id"))})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +87,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_rule_profile": p1_rule_profile,
     "p1_slug_profile": p1_slug_profile,
+    "p1_slug_sketch": p1_slug_sketch,
     "p3_found": p3_found,
     "p3_change_tally": p3_change_tally,
     "p5_found": p5_found,
@@ -135,6 +140,9 @@ SELECT rule_id, count(*) AS n_rows, count_if({_SEVERITY_SQL} = 'critical')::BIGI
   count_if({_SEVERITY_SQL} = 'high')::BIGINT AS n_high, min(line) AS first_line, max(line) AS last_line,
   max(finding_id) AS last_id
 FROM findings GROUP BY rule_id""",
+    "p1_slug_profile": """
+WITH j AS (SELECT slug, job_id, count(*) AS n FROM findings GROUP BY 1, 2)
+SELECT slug, sum(n)::BIGINT AS n_rows, count_if(job_id IS NOT NULL)::BIGINT AS n_jobs, max(n) AS most_rows FROM j GROUP BY 1""",
     "p3_found": _SNAPSHOT_SQL
     + " SELECT batch_id, version_from, version_to, finding_key, change_kind FROM changes WHERE change_kind IS NOT NULL",
     "p3_change_tally": _SNAPSHOT_SQL

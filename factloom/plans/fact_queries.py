@@ -456,6 +456,18 @@ QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC, jo
 SELECT finding_id, rule_id, score FROM (
   SELECT DISTINCT finding_id, rule_id, access, path, line, source, sink, {_WEIGHT} + {RULE_POINTS_SQL} AS score FROM findings)
 ORDER BY score DESC, rule_id NULLS FIRST, path, line, finding_id LIMIT 50""",
+    "finding_clusters": """
+WITH RECURSIVE f AS (SELECT DISTINCT finding_id, 'e' || concat_ws('|', slug, finding_key) AS x, 's' || concat_ws('|', slug, rule_id, sink.path, sink.line::VARCHAR) AS y FROM findings),
+n AS (SELECT DISTINCT x AS a, y AS b FROM f UNION SELECT DISTINCT y, x FROM f),
+c(k, root) AS (SELECT DISTINCT a, a FROM n UNION SELECT n.b, c.root FROM c JOIN n ON n.a = c.k),
+g AS (SELECT k, min(root) AS root FROM c GROUP BY 1)
+SELECT count(DISTINCT finding_id) AS n_findings, min(finding_id) AS first_id FROM f JOIN g ON g.k = f.x GROUP BY root""",
+    "path_widening": """
+WITH a AS (SELECT DISTINCT slug, array_slice(string_split(path, '/'), 1, 16) AS p FROM findings),
+b AS (SELECT slug, CASE WHEN count(*) OVER (PARTITION BY slug, p[1]) > 64 AND len(p) > 1 THEN list_append(array_slice(p, 1, len(p) - 1), '[*]') ELSE p END AS p FROM a),
+d AS (SELECT slug, p[1] AS root, count(DISTINCT p) AS n FROM b GROUP BY 1, 2),
+e AS (SELECT b.slug, CASE WHEN n > 64 AND len(p) > 1 THEN [p[1], '[*]'] ELSE p END AS p FROM b JOIN d ON b.slug = d.slug AND b.p[1] = d.root)
+SELECT slug, array_to_string(p, '/') AS place, count(*) AS n FROM e GROUP BY 1, 2""",
     "finding_unguarded": """
 WITH f AS (SELECT DISTINCT job_id, path, line, finding_id, access, rule_id FROM findings)
 SELECT rule_id, count(*) AS n_unguarded FROM f
