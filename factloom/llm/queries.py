@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.severity import severity_rank
 from factloom.llm.group_topn import group_topn
 from factloom.llm.mixing import mix_report, mix_sources
-from factloom.llm.name_link import linked_slugs
+from factloom.llm.name_link import linked_slugs, slug_classes
 from factloom.llm.packing import pack_documents, packing_report
 from factloom.llm.subjects import document_subjects
 from factloom.session import load
@@ -20,6 +20,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_slugs(load(spark, d, "plugins"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return slug_classes(load(spark, d, "plugins"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return group_topn(
         load(spark, d, "findings"),
@@ -65,7 +69,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p4_found, p6_packing, p6_report, p7_mixture, p7_report, p8_found, p8_composition)
+    for f in (p2_found, p2_classes, p4_found, p6_packing, p6_report, p7_mixture, p7_report, p8_found, p8_composition)
 }
 
 ORACLES = {
