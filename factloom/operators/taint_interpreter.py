@@ -120,6 +120,7 @@ class Interpreter:
         self.entries: set[tuple] = set()
         self.registered: set[tuple] = set()
         self.reads: set[tuple] = set()
+        self.models: dict[str, dict[str, list]] = record.get("models") or {}
         self.props: set[tuple] = set()
         self.returns_none = True
         self.given: list[tuple] = []
@@ -750,7 +751,11 @@ class Interpreter:
         if name in M.DOWNLOADS and self.record_read and self.attachment_before(line):
             for key in {k for v in self.env.values() for k in v.all()}:
                 self.emit_one(M.ACTION, "action", key, 0, self.place(line), self.r["key"])
-        for rule, op, _, positions in _FUNCTIONS.get(name, []):
+        if name in self.models.get("source", {}):
+            return Value({("S", *self.place(line)): 0})
+        for _, flag, _, _ in self.models.get("sanitizer", {}).get(name, []):
+            return _union(args).flat({"html": HTML_SAFE, "path": PATH_SAFE, "number": NUMERIC | HTML_SAFE}.get(flag, 0))
+        for rule, op, _, positions in [*_FUNCTIONS.get(name, []), *self.models.get("function", {}).get(name, [])]:
             if rule == M.OBJECT and len(e[3]) > 1 and "allowed_classes" in repr(e[3][1]) and "'false'" in repr(e[3][1]):
                 continue
             for i in positions:
@@ -868,7 +873,7 @@ class Interpreter:
         got = self.apply(ref, args, owner, line)
         if got is not None:
             return got
-        for rule, op, _, positions in _METHODS.get(name, []):
+        for rule, op, _, positions in [*_METHODS.get(name, []), *self.models.get("method", {}).get(name, [])]:
             wanted = M.METHOD_RECEIVERS.get(name)
             if wanted and not any(w in receiver for w in wanted):
                 continue

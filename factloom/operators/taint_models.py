@@ -6,6 +6,9 @@ documented behaviour for results to agree.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 #: Request arrays.
 SUPERGLOBALS = "_GET _POST _REQUEST _COOKIE _FILES".split()
 #: Keys of _SERVER that a request controls, beside those that start with HTTP_.
@@ -209,3 +212,29 @@ def by_name(table: list[tuple], column: int) -> dict[str, list[tuple]]:
         for name in row[column].split():
             out.setdefault(name, []).append(row)
     return out
+
+
+#: Columns of a model table: what it is (function, method, source or sanitizer), the name, and for sinks rule, operation and arguments.
+MODEL_SCHEMA = "kind string, name string, rule string, op string, positions array<int>"
+#: Most rows of a table of further models; they are read into the driver and handed to the workers.
+MOST_MODELS = 50_000
+
+
+def model_table(spark: SparkSession) -> DataFrame:
+    """The models of this module as a table of ``MODEL_SCHEMA``, to be looked at, joined with calls, or added to."""
+    rows = [("function", n, rule, op, list(at)) for rule, op, names, at in FUNCTION_SINKS for n in names.split()]
+    rows += [("method", n, rule, op, list(at)) for rule, op, names, at in METHOD_SINKS for n in names.split()]
+    rows += [("source", n, None, None, None) for n in [*REQUEST_FUNCTIONS, *REMOTE_FUNCTIONS]]
+    rows += [("sanitizer", n, None, flag, None) for flag, names in (("html", HTML_SAFE), ("number", NUMERIC), ("path", PATH_SAFE)) for n in names]
+    return spark.createDataFrame(rows, MODEL_SCHEMA)
+
+
+def further_models(models: DataFrame) -> dict[str, dict[str, list]]:
+    """Rows of a model table by kind and name; null names are none. Raises beyond ``MOST_MODELS`` rows."""
+    rows = models.where(F.col("name").isNotNull()).select("kind", F.lower("name").alias("name"), "rule", "op", "positions").distinct().limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    out: dict[str, dict[str, list]] = {"function": {}, "method": {}, "source": {}, "sanitizer": {}}
+    for r in sorted(rows, key=str):
+        out.setdefault(r.kind, {}).setdefault(r.name, []).append((r.rule, r.op, r.name, tuple(r.positions or ())))
+    return out

@@ -291,8 +291,9 @@ def relevant_callables(callables: DataFrame) -> DataFrame:
     return down.union(code.where("kind = 'closure'").select(node)).distinct().select(parts[0].alias("root"), parts[1].alias("key"))
 
 
-def _interpret(inputs: DataFrame, strict: bool) -> DataFrame:
+def _interpret(inputs: DataFrame, strict: bool, models: dict | None = None) -> DataFrame:
     """(root, key, summary) of callables with (record, constants, callees: array of ref and summary)."""
+    shared = inputs.sparkSession.sparkContext.broadcast(models or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -305,7 +306,7 @@ def _interpret(inputs: DataFrame, strict: bool) -> DataFrame:
                     for c in sorted(callees if callees is not None else [], key=lambda c: (c["ref"], c["summary"])):
                         known.setdefault(c["ref"], []).append(json.loads(c["summary"]))
                     r = pickle.loads(record)
-                    more = {"key": key, "name": r["key"], "constants": dict(texts or {})}
+                    more = {"key": key, "name": r["key"], "constants": dict(texts or {}), "models": shared.value}
                     rows.append((root, key, json.dumps(Interpreter(r | more, known, strict).run(), sort_keys=True)))
                 return rows
 
@@ -405,7 +406,7 @@ _REFERRING = ("calls", "registered", "entries", "checks", "props")
 
 
 def summarise(
-    callables: DataFrame, max_passes: int = MAX_PASSES, strict: bool = False, prune: bool = True
+    callables: DataFrame, max_passes: int = MAX_PASSES, strict: bool = False, prune: bool = True, models: dict | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summaries, edges, meaning of references) at the fixpoint; raises if it isn't reached in ``max_passes``.
 
@@ -418,7 +419,7 @@ def summarise(
         code = code.join(relevant_callables(callables), ["root", "key"], "left_semi")
     code = stage(code, "taint-code")
     none = F.array().cast("array<struct<ref:string,summary:string>>")
-    summaries = stage(_interpret(code.withColumn("callees", none), strict), "summaries")
+    summaries = stage(_interpret(code.withColumn("callees", none), strict, models), "summaries")
     edges, meaning = _edges(summaries, callables)
     pending = edges.select("root", F.col("caller").alias("key")).distinct()
     for _ in range(max_passes):
@@ -428,7 +429,7 @@ def summarise(
             .groupBy("root", F.col("caller").alias("key"))
             .agg(F.collect_list(F.struct("ref", "summary")).alias("callees"))
         )
-        fresh = stage(_interpret(code.join(inputs, ["root", "key"]), strict), "summaries-fresh")
+        fresh = stage(_interpret(code.join(inputs, ["root", "key"]), strict, models), "summaries-fresh")
         old = summaries.select("root", "key", F.col("summary").alias("old"))
         part = lambda c: F.concat_ws("\n", *(F.get_json_object(c, f"$.{name}") for name in _REFERRING))
         changed = fresh.join(old, ["root", "key"]).where("summary <> old").withColumn("turned", part("summary") != part("old"))
@@ -568,18 +569,22 @@ def scan(
     strict: bool = False,
     fail_fast: bool = False,
     prune: bool = True,
+    models: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of ``files`` (root, path, source).
 
     Unreadable files are left out (see ``extract_callables``). ``strict`` runs
     loops twice. Rows of one program don't depend on the order of its files.
+    ``models`` adds sinks, sources and sanitizers of one's own to the built-in
+    ones (see ``taint_models.MODEL_SCHEMA``); callables are not pruned then.
     Result: root, rule_id, path, line, access, severity, required_capability,
     minimum_role, source, sink, callable, entrypoints, finding_key,
     stored_access, score.
     """
     callables = stage(extract_program(files.where("path is not null"), fail_fast), "callables")
-    prune = prune and "surface" not in operations  # signals need callables without any sink
-    summaries, edges, meaning = summarise(callables, max_passes, strict, prune)
+    prune = prune and models is None and "surface" not in operations  # signals need callables without any sink
+    own = M.further_models(models) if models is not None else None
+    summaries, edges, meaning = summarise(callables, max_passes, strict, prune, own)
     c = stage(contexts(summaries, edges, meaning), "contexts")
     flow = F.from_json(F.get_json_object("summary", "$.sinks"), "array<string>")
     parsed = summaries.select("root", "key", F.explode(flow).alias("x")).select(

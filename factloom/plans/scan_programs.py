@@ -292,3 +292,11 @@ upload_piece upload-api-surface a.php:5 4
 def surface_files(spark: SparkSession) -> DataFrame:
     rows = [(root, path, source) for root, files in SURFACES.items() for path, source in files.items()]
     return spark.createDataFrame(rows, "root string, path string, source string")
+
+
+#: A program that uses functions of its own which a model table tells of.
+OWN_MODELS = _SHUT + "own_sink('x', $_GET['a']); own_sink($_GET['b'], 'x');\n$v = own_input();\n$o->own_write($v);\necho $v; echo own_clean($v);"
+
+
+def model_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("own", "a.php", OWN_MODELS)], "root string, path string, source string")

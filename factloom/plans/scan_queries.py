@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators.taint_scan import _facts, constants, contexts, extract_callables, extract_program, own_checks, scan, summarise
+from factloom.operators import taint_models
 from factloom.plans import scan_programs as P
 from factloom.session import load, stage
 from factloom.sources.excerpts import document_programs
@@ -43,6 +44,14 @@ def scan_surfaces(spark, d):
     return scan(P.surface_files(spark), ("surface",)).select(F.col("root").alias("case_id"), "rule_id", place.alias("place"), F.col("source.line").alias("source_line"))
 
 
+def scan_models(spark, d):
+    """Findings by sinks, sources and sanitizers that a table adds to the built-in ones."""
+    rows = [("function", "own_sink", "own-rule", "call", [1]), ("method", "own_write", "own-write", "write", [0]), ("source", "own_input", None, None, None), ("sanitizer", "own_clean", None, "html", None), ("function", None, "x", "call", [0])]
+    models = spark.createDataFrame(rows, "kind string, name string, rule string, op string, positions array<int>")
+    found = scan(P.model_files(spark), models=models)
+    return found.select(F.col("root").alias("case_id"), "rule_id", F.col("sink.line").alias("line"), F.col("source.line").alias("source_line"))
+
+
 def scan_large(spark, d):
     """Findings of twenty programs of 1,613 callables each, a fifth of them on a way from an entry to a sink."""
     return scan(P.large_programs(spark).repartition(32)).select(F.col("root").alias("case_id"), "callable", "rule_id", "access")
@@ -79,7 +88,7 @@ def job_state_machine(spark, d):
     return latest_states(e)
 
 
-QUERIES = {f.__name__: f for f in (scan_cases, scan_facts, scan_surfaces, scan_large, excerpt_callables, excerpt_findings, job_state_machine)}
+QUERIES = {f.__name__: f for f in (scan_cases, scan_facts, scan_surfaces, scan_models, scan_large, excerpt_callables, excerpt_findings, job_state_machine)}
 
 _SEVERITY = "CASE access WHEN 'unauthenticated' THEN 'critical' WHEN 'authenticated' THEN 'high' WHEN 'nonce_only' THEN 'medium' WHEN 'capability_checked' THEN 'low' ELSE 'info' END"
 
@@ -90,6 +99,9 @@ SELECT case_id, rule_id, place, source_line::INT AS source_line, access, {_SEVER
 FROM (VALUES {P.values(P.EXPECTED, 7)}) t(case_id, rule_id, place, source_line, access, capability, score)""",
     "scan_surfaces": f"""
 SELECT case_id, rule_id, place, source_line::INT AS source_line FROM (VALUES {P.values(P.EXPECTED_SURFACES, 4)}) t(case_id, rule_id, place, source_line)""",
+    "scan_models": """
+SELECT case_id, rule_id, line::INT AS line, source_line::INT AS source_line FROM (VALUES ('own', 'own-rule', 2, 2), ('own', 'own-write', 4, 3),
+  ('own', 'wp-reflected-xss-direct-request-output', 5, 3)) t(case_id, rule_id, line, source_line)""",
     "scan_large": f"""
 SELECT 'large' || p AS case_id, 'f:show_' || i AS callable, 'wp-reflected-xss-direct-request-output' AS rule_id, 'unauthenticated' AS access
 FROM range({P.LARGE_PROGRAMS}) a(p), range({P.LARGE_RELEVANT // 3}) b(i)""",
