@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from factloom.session import stage
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, values: Sequence[str], strict: bool = True) -> DataFrame:
     """``left`` with ``values`` of the latest row of ``right`` before it.
 
-    One sort of the union instead of a join of pairs: rows of both sides go to
-    their key, and the last value seen is carried on. ``strict``: at the same
+    One sort of the union instead of a join of pairs, and the last value seen
+    is carried on. Rows are range-partitioned by key and time, so that a hot
+    key fills many parts; the last value of a key that goes on from part to
+    part is handed over, which takes a row for each part only. ``strict``: at the same
     point of ``at``, right rows come after left ones and are not seen. Of right
     rows at one point the largest values win. Left rows without one have nulls.
     """
@@ -22,8 +25,21 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, val
     kept = [c for c in left.columns]
     a = left.select(*by, at, F.struct(*kept).alias("__row"), F.lit(None).cast(right.select(carried.alias("s")).schema["s"].dataType).alias("__v"), F.lit(0 if strict else 1).alias("__side"))
     b = right.groupBy(*by, at).agg(F.max(carried).alias("__v")).select(*by, at, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), "__v", F.lit(1 if strict else 0).alias("__side"))
-    order = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(order))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = a.unionByName(b).repartitionByRange(parts, *by, at, "__side").withColumn("__part", F.spark_partition_id())
+    both = stage(both, "as-of")
+    order = Window.partitionBy("__part", *by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__last", F.last("__v", ignorenulls=True).over(order))
+    # Keys of a part are neighbours in the order, so only those at its ends go beyond it: at most two of them.
+    held = both.groupBy(*by, "__part").agg(F.max(F.when(F.col("__v").isNotNull(), F.struct(at, "__side", "__v"))).alias("__end"))
+    spans = held.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*by)
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[k].eqNullSafe(y[k]) for k in by))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = held.join(F.broadcast(spans), same(held, spans), "left_semi")
+    handed = handed.withColumn("__carry", F.last(F.col("__end").getField("__v"), ignorenulls=True).over(before)).where(F.col("__carry").isNotNull())
+    handed = handed.select(*(F.col(k).alias(f"__by_{k}") for k in by), F.col("__part").alias("__at_part"), "__carry")
+    meets = reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by)) & (F.col("__part") == F.col("__at_part"))
+    seen = seen.join(F.broadcast(handed), meets, "left").withColumn("__last", F.coalesce("__last", "__carry"))
     return seen.where(F.col("__row").isNotNull()).select("__row.*", *(F.col("__last").getField(v).alias(v) for v in values))
 
 

@@ -8,6 +8,8 @@ through the summaries of the callees; no other callable is looked into.
 
 from __future__ import annotations
 
+import re
+
 from factloom.functions import sql_text
 from factloom.operators import taint_guards as G
 from factloom.operators import taint_models as M
@@ -16,6 +18,8 @@ from factloom.operators import taint_surfaces as S
 PERSISTENT, PATH_SAFE, HTML_SAFE, HTML_UNSAFE, NUMERIC, SECRET = 1, 2, 4, 8, 16, 32
 #: Most segments of a path; a longer one is cut, which keeps recursion finite.
 DEPTH = 16
+#: Fixed value: a format that takes a text.
+_TAKES_TEXT = re.compile(r"(?:^|[^%])(?:%%)*%[0-9$.+ '#-]*s")
 _FUNCTIONS = M.by_name(M.FUNCTION_SINKS, 2)
 _METHODS = M.by_name(M.METHOD_SINKS, 2)
 _READS = M.by_name(M.STORE_READS, 0)
@@ -758,6 +762,8 @@ class Interpreter:
         for rule, op, _, positions in [*_FUNCTIONS.get(name, []), *self.models.get("function", {}).get(name, [])]:
             if rule == M.OBJECT and len(e[3]) > 1 and "allowed_classes" in repr(e[3][1]) and "'false'" in repr(e[3][1]):
                 continue
+            if name in ("printf", "vprintf") and (form := self.text(e[3][0]) if e[3] else None) is not None and not _TAKES_TEXT.search(form):
+                continue
             for i in positions:
                 if i < len(args):
                     if op == "output":

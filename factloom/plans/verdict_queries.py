@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import findings as ops, lattice, verdicts
 from factloom.plans.fact_queries import RULE_POINTS_SQL
 from factloom.session import load
+from factloom.sources import readers
 
 _ARRAYS = ("configs", "sink_ops", "rules", "paths", "sources", "trace_sources", "trace_sinks", "sink_places", "bundle_texts")
 #: Cases that every plugin has: what they are configured with.
@@ -177,11 +178,38 @@ def merged_payloads(spark, d):
     return ops.merge_payloads(parts, ["job_id"]).agg(F.count(F.lit(1)).alias("n"), F.sum("total_results").alias("n_results"), F.sum("total_errors").alias("n_errors"))
 
 
+def payload_counts(spark, d):
+    """Summary of the payload of each job that has one, counted from its findings."""
+    f = load(spark, d, "findings").select("job_id", "rule_id", "finding_id").dropDuplicates(["finding_id"])
+    runs = load(spark, d, "payload_summaries").select("job_id", "generated_at", "elapsed_ms", "total_errors")
+    got = readers.payload_summaries(f, runs, "job_id")
+    rules = F.array_join(F.transform(F.map_entries("results_per_rule"), lambda e: F.concat_ws("=", e.getField("key"), e.getField("value").cast("string"))), ",")
+    return got.select("job_id", "generated_at", "elapsed_ms", "total_results", "total_errors", rules.alias("rules"))
+
+
+def job_reports(spark, d):
+    """A report of each done job in Markdown: its title and its findings by rule."""
+    j = load(spark, d, "jobs").where("status = 'done'").select("id", F.concat_ws(" ", "slug", "version").alias("title")).distinct()
+    f = load(spark, d, "findings").select("job_id", "rule_id", "finding_id").dropDuplicates(["finding_id"])
+    counts = f.groupBy(F.col("job_id").alias("id"), F.col("rule_id").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return readers.job_markdown(j, counts)
+
+
+def line_statistics(spark, d):
+    """Mean, spread, median and ends of the lines of each rule's findings."""
+    f = load(spark, d, "findings").where("line is not null")
+    return f.groupBy("rule_id").agg(
+        F.round(F.avg("line"), 4).alias("mean"), F.round(F.stddev_samp("line"), 4).alias("spread"), F.round(F.percentile("line", F.lit(0.5)), 4).alias("median"),
+        F.round(F.percentile("line", F.lit(0.9)), 4).alias("p90"), F.min("line").alias("low"), F.max("line").alias("high"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         verdict_cases, verdict_totals, case_operations, case_coverage, case_traces, case_proofs, path_cover, meaning_duplicates, final_findings,
         origins_whole, contexts_whole, context_changes, single_parameter, covered_parents, broad_hooks, requested_scans, plugin_versions, merged_payloads,
+        payload_counts, job_reports, line_statistics,
     )
 }
 
@@ -350,6 +378,19 @@ WITH j AS (SELECT DISTINCT lower(trim(slug)) AS slug, trim(version) AS version F
 SELECT slug, version FROM j WHERE regexp_matches(slug, '^[a-z0-9][a-z0-9_-]*$') AND regexp_matches(version, '^[0-9A-Za-z][0-9A-Za-z._+-]*$')
 QUALIFY row_number() OVER (PARTITION BY slug ORDER BY version) <= 400""",
     "plugin_versions": "SELECT version, count(DISTINCT slug) AS n FROM plugins WHERE contains(version, '.1') AND contains(lower(name), 'a') GROUP BY 1",
+    "payload_counts": """
+WITH c AS (SELECT job_id, rule_id, count(DISTINCT finding_id) AS n FROM findings GROUP BY 1, 2),
+p AS (SELECT job_id, sum(n)::BIGINT AS total, string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) FILTER (rule_id IS NOT NULL) AS rules FROM c GROUP BY 1)
+SELECT job_id, generated_at, elapsed_ms, coalesce(total, 0) AS total_results, coalesce(total_errors, 0) AS total_errors, coalesce(rules, '') AS rules
+FROM payload_summaries LEFT JOIN p USING (job_id)""",
+    "job_reports": """
+WITH j AS (SELECT DISTINCT id, slug || ' ' || version AS title FROM jobs WHERE status = 'done'),
+c AS (SELECT job_id AS id, rule_id, count(DISTINCT finding_id) AS n FROM findings WHERE rule_id IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT id, string_agg(chr(10) || '| ' || rule_id || ' | ' || n || ' |', '' ORDER BY rule_id) AS lines FROM c GROUP BY 1)
+SELECT id, '# ' || title || chr(10) || chr(10) || '| Name | Count |' || chr(10) || '|---|---|' || coalesce(lines, '') AS markdown FROM j LEFT JOIN r USING (id)""",
+    "line_statistics": """
+SELECT rule_id, round(avg(line), 4) AS mean, round(stddev_samp(line), 4) AS spread, round(quantile_cont(line, 0.5), 4) AS median,
+  round(quantile_cont(line, 0.9), 4) AS p90, min(line) AS low, max(line) AS high FROM findings WHERE line IS NOT NULL GROUP BY 1""",
     "merged_payloads": """
 SELECT count(*) AS n, sum(total_results)::BIGINT AS n_results, sum(total_errors)::BIGINT AS n_errors FROM payload_summaries WHERE total_errors >= 0""",
 }

@@ -130,7 +130,28 @@ def write_findings(findings: DataFrame, path: str, files: int | None = None) ->
     ranged.sortWithinPartitions(*order).write.mode("overwrite").json(path)
 
 
-def markdown_report(counts: list[tuple[str, int]], title: str) -> str:
-    """A short table of names and counts."""
-    rows = "\n".join(f"| {name} | {n} |" for name, n in counts)
-    return f"# {title}\n\n| Name | Count |\n|---|---|\n{rows}\n"
+def payload_summaries(findings: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """(key, generated_at, elapsed_ms, total_results, total_errors, results_per_rule) of each run.
+
+    ``runs``: key, generated_at, elapsed_ms, total_errors; a run without
+    findings has none of them. Rules are counted before they are gathered, so
+    a run's map is as long as its list of rules; null rules count in the total
+    only.
+    """
+    counts = findings.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    named = F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct("rule_id", "n"))))
+    per = counts.groupBy(key).agg(F.sum("n").alias("total_results"), F.map_from_entries(named).alias("results_per_rule"))
+    none = F.create_map().cast("map<string,bigint>")
+    return runs.join(per, key, "left").select(
+        key, "generated_at", "elapsed_ms", F.coalesce("total_results", F.lit(0)).alias("total_results"),
+        F.coalesce("total_errors", F.lit(0)).alias("total_errors"), F.coalesce("results_per_rule", none).alias("results_per_rule"),
+    )
+
+
+def job_markdown(jobs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, markdown): a short report of each job. ``jobs``: id, title; ``counts``: id, name, n (a row for each name)."""
+    row = F.concat(F.lit("| "), "name", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
+    rows = counts.where(F.col("name").isNotNull()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("name", row.alias("row")))).alias("rows"))
+    lines = F.transform(F.coalesce("rows", F.array().cast("array<struct<name:string,row:string>>")), lambda r: r.getField("row"))
+    head = F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit(""))), F.lit(""), F.lit("| Name | Count |"), F.lit("|---|---|"))
+    return jobs.join(rows, "id", "left").select("id", F.array_join(F.concat(head, lines), "\n").alias("markdown"))

@@ -86,3 +86,22 @@ def read_upserted(spark, target: str, key: str, order: str) -> DataFrame:
     rows = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
     columns = [c for c in rows.columns if c != "batch"]
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "batch")).alias("r")).select("r.*")
+
+
+def event_lines(jobs: DataFrame, kind: str = "job") -> DataFrame:
+    """(value): each row of ``jobs`` as an event in JSON: its type, and the job."""
+    return jobs.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*jobs.columns).alias("job"))).alias("value"))
+
+
+def write_events(jobs: DataFrame, target: str, checkpoint: str, kind: str = "job"):
+    """Start a stream of ``event_lines`` into text files, a folder for each batch.
+
+    Nothing is dropped for slow readers, and a batch that is delivered again
+    overwrites its own folder: every event stands there once. The query is
+    returned; it takes what is there and ends.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        event_lines(batch, kind).write.mode("overwrite").text(f"{target}/batch={number:012d}")
+
+    return jobs.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()

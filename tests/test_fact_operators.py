@@ -199,3 +199,16 @@ def test_tiered_counts_equal_pairs(spark):
     right = spark.createDataFrame([("f", "k"), ("f", "k"), ("f", "y"), (None, "k")], "fam string, key string")
     got = sorted((r.id, r.tier, r.n_matches) for r in joins.tiered_counts(left, right, [["fam", "key"], ["fam"]]).collect())
     assert got == [(1, 1, 2), (2, 2, 3)]
+
+
+def test_asof_of_a_key_that_fills_many_parts(spark):
+    left = [("hot", t, t) for t in range(1, 400, 3)] + [(k, 5, 1000 + i) for i, k in enumerate("abc")] + [(None, 9, 2000)]
+    right = [("hot", t, t) for t in (7, 8, 200)] + [("a", 4, 40), ("a", 5, 50), ("c", 6, 60), (None, 3, 30)]
+    a = spark.createDataFrame(left, "k string, t int, id int")
+    b = spark.createDataFrame(right, "k string, t int, v int")
+    for strict in (True, False):
+        got = {r.id: r.v for r in joins.asof_join(a, b, ["k"], "t", ["v"], strict).collect()}
+        for k, t, i in left:
+            before = [(x, v) for y, x, v in right if y == k and (x < t if strict else x <= t)]
+            assert got[i] == (max(before)[1] if before else None), (k, t, strict)
+        assert len(got) == len(left)

@@ -14,8 +14,8 @@ from factloom.operators.taint_scan import callables_of, scan
 from factloom.plans.scan_queries import excerpt_callables, excerpt_findings
 from factloom.sources.excerpts import as_program, program_excerpts
 from factloom.sources.php_parser import PhpError, parse_php
-from factloom.sources.readers import archive_files, directory_plugins, payload_findings, program_files, read_payloads, write_findings
-from factloom.streaming.jobs import STATES, job_states, latest_states, next_state, read_upserted, upsert, windowed_counts
+from factloom.sources.readers import archive_files, directory_plugins, job_markdown, payload_findings, payload_summaries, program_files, read_payloads, write_findings
+from factloom.streaming.jobs import STATES, job_states, latest_states, next_state, read_upserted, upsert, windowed_counts, write_events
 
 
 def flows(code, key="file:a.php", summaries=None, strict=False):
@@ -323,3 +323,35 @@ def test_query_text():
     assert write_columns("update wp_t set a = 1, b = f(2, 3) where c = 1") == ("t", ["a", "b"])
     assert is_aggregate("select count(*) from t") and not is_aggregate("select count(*), a from t") and not is_aggregate(None)
     assert select_columns(None) == [] and read_tables("") == [] and write_columns("drop table t") is None and table_key(None) is None
+
+
+def test_events_are_written_once(spark, tmp_path):
+    schema = "job_id string, seq int, status string"
+    for k, rows in enumerate(([("a", 1, "queued"), ("b", 2, "queued")], [("a", 3, "done"), ("a", 4, "queued"), (None, 5, "done")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = write_events(job_states(stream), str(tmp_path / "events"), str(tmp_path / "c"))
+    query.awaitTermination(120)
+    assert query.exception() is None
+    events = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "events")).collect()]
+    assert sorted((e["type"], e["job"]["job_id"], e["job"]["status"]) for e in events) == [("job", "a", "done"), ("job", "a", "queued"), ("job", "b", "queued")]
+
+
+def test_payload_summaries_and_reports(spark):
+    f = spark.createDataFrame([("j", "r"), ("j", "r"), ("j", None), ("x", "q")], "job_id string, rule_id string")
+    runs = spark.createDataFrame([("j", "2024", 5, 1), ("k", None, None, None)], "job_id string, generated_at string, elapsed_ms bigint, total_errors int")
+    got = {r.job_id: (r.total_results, r.total_errors, r.results_per_rule) for r in payload_summaries(f, runs, "job_id").collect()}
+    assert got == {"j": (3, 1, {"r": 2}), "k": (0, 0, {})}
+    jobs = spark.createDataFrame([("j", "s 1"), ("k", None)], "id string, title string")
+    counts = spark.createDataFrame([("j", "b", 1), ("j", "a", 2), ("j", None, 9)], "id string, name string, n int")
+    text = {r.id: r.markdown for r in job_markdown(jobs, counts).collect()}
+    assert text["j"].split("\n") == ["# s 1", "", "| Name | Count |", "|---|---|", "| a | 2 |", "| b | 1 |"] and text["k"].startswith("# \n")
+
+
+def test_formats_that_take_no_text():
+    assert rules("printf('%d', $_GET['q']);") == [] and rules("printf('%5$s', $_GET['q']);") == [M.REFLECTED] and rules("printf($f, $_GET['q']);") == [M.REFLECTED]
+
+
+def test_calls_that_always_end_the_request(spark):
+    code = "<?php function stop() { if ($a) { wp_die(); } else { exit; } } function maybe() { if ($a) { exit; } } function go() { maybe();\necho $_GET['a']; stop();\necho $_GET['b']; } go();"
+    assert [r.line for r in _scan(spark, {"e": {"a.php": code}}).collect()] == [2]
