@@ -8,6 +8,7 @@ through the summaries of the callees; no other callable is looked into.
 
 from __future__ import annotations
 
+import json
 import re
 
 from factloom.functions import sql_text
@@ -125,6 +126,8 @@ class Interpreter:
         self.registered: set[tuple] = set()
         self.reads: set[tuple] = set()
         self.models: dict[str, dict[str, list]] = record.get("models") or {}
+        self.literals: dict[str, str] = record.get("literals") or {}
+        self.variants: set[tuple] = set()
         self.props: set[tuple] = set()
         self.returns_none = True
         self.given: list[tuple] = []
@@ -144,6 +147,8 @@ class Interpreter:
         for i, (name, hint, default, spread) in enumerate(self.r["params"]):
             own = Value({("P", i, ()): 0}, type=hint.lstrip("?\\").lower() or None)
             self.env[name] = Value(fields={"*": own}) if spread else own
+            if not spread and str(i) in self.literals:  # a clone for calls that give this text
+                self.env[name] = Value(text=self.literals[str(i)])
         for name in self.r.get("uses") or []:
             self.env.setdefault(name, Value())
         if self.r["kind"] == "file" and not any("defined(" in t.replace(" ", "") for n, t in self.r["lines"].items() if n <= 24):
@@ -174,6 +179,7 @@ class Interpreter:
             "props": sorted(self.props),
             "facts": S.facts(self.r, self.class_name, self.r["lines"]),
             "ends": ends,
+            "variants": sorted(self.variants),
             "given": sorted({(_plain_text(k), f, *place) for k, f, place in self.given}),
         }
 
@@ -665,6 +671,11 @@ class Interpreter:
         """Effects of a call through the callees' summaries; None where none is known."""
         self.calls[ref] = min(line, self.calls.get(ref, line))
         known = self.summaries.get(ref)
+        if texts := {str(i): a.text for i, a in enumerate(args) if a.text is not None and not a.all()}:
+            given = json.dumps(texts, sort_keys=True)
+            known = self.summaries.get(f"{ref}@{given}") or known
+            if not self.literals:  # clones make no clones, or texts could grow for ever
+                self.variants.add((ref, given))
         if not known:
             return None
         out = Value()
@@ -713,8 +724,10 @@ class Interpreter:
                 return got if got is not None else _union(args)
             if callee.all():
                 self.emit(M.USE, "dynamic", callee, e[1])
-            if (named := self.pattern(e[2])) and "{}" in named:
-                self.apply("f:" + named.lstrip("\\").lower(), args, None, e[1])
+            if named := self.pattern(e[2]):
+                got = self.apply("f:" + named.lstrip("\\").lower(), args, None, e[1])
+                if got is not None:
+                    return got
             return _union(args)
         full = e[2].lstrip("\\").lower()
         name = full.rsplit("|", 1)[-1]

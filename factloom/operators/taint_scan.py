@@ -40,10 +40,10 @@ DEPTH, STACK = 100_000, 512 << 20
 OPERATIONS = ("include", "read", "open", "delete", "write", "output", "sql", "action", "call")
 #: Lines before a sink within which a local check counts.
 LOCAL_LINES = 48
-_COLUMNS = ["root", "key", "name", "kind", "class", "parent", "method", "path", "line", "record", "error", "refs", "calls", "seed"]
+_COLUMNS = ["root", "key", "name", "kind", "class", "parent", "method", "path", "line", "record", "error", "refs", "calls", "seed", "special"]
 _CALLABLE = (
     "root string, key string, name string, kind string, class string, parent string, method string, path string, line int,"
-    " record binary, error string, refs array<string>, calls array<string>, seed boolean"
+    " record binary, error string, refs array<string>, calls array<string>, seed boolean, special boolean"
 )
 #: Functions and methods without which a callable matters to a scan only through others.
 _SEEDS = {n for row in [*M.FUNCTION_SINKS, *M.METHOD_SINKS] for n in row[2].split()} | {
@@ -129,9 +129,16 @@ def constants_of(program: list, path: str) -> list[tuple[str, list]]:
     return out
 
 
-def outline(c: dict) -> tuple[list[str], list[str], bool]:
-    """Of a callable: constants it names, bare names it may call, and whether it matters to a scan by itself."""
+def outline(c: dict) -> tuple[list[str], list[str], bool, bool]:
+    """Of a callable: constants it names, bare names it may call, whether it matters to a scan by itself, whether a text given to it decides what it does."""
     refs, calls, seed = set(), set(), c["kind"] == "file"
+    params = {p[0] for p in c["params"]}
+    is_param = lambda n: isinstance(n, tuple) and n[0] == "var" and n[2] in params
+    special = any(
+        (n[0] == "binary" and n[2] in (*G.SAME, *G.DIFFERENT) and (is_param(n[3]) or is_param(n[4])))
+        or (n[0] in ("call", "method") and is_param(n[2] if n[0] == "call" else n[3]))
+        for n in G.nodes(c["body"])
+    )
     for n in G.nodes(c["body"]):
         if n[0] == "name":
             refs.add(constant_name(n[2]))
@@ -154,7 +161,7 @@ def outline(c: dict) -> tuple[list[str], list[str], bool]:
                 calls.add(G.short(n[3].split("::")[-1]))
             elif n[0] == "new":
                 calls.add("__construct")
-    return sorted(refs), sorted(calls), seed
+    return sorted(refs), sorted(calls), seed, special
 
 
 def class_parents(program: list, path: str) -> list[tuple[str, str]]:
@@ -178,7 +185,7 @@ def extract_callables(files: DataFrame, fail_fast: bool = False) -> DataFrame:
     Definitions of one name in a program are all kept: the name is theirs
     together, the key each one's own.
     """
-    return extract_program(files, fail_fast).where("kind not in ('class', 'const')").drop("refs", "calls", "seed")
+    return extract_program(files, fail_fast).where("kind not in ('class', 'const')").drop("refs", "calls", "seed", "special")
 
 
 def extract_program(files: DataFrame, fail_fast: bool = False) -> DataFrame:
@@ -191,15 +198,15 @@ def extract_program(files: DataFrame, fail_fast: bool = False) -> DataFrame:
                 try:
                     program = parse_php(source or "")
                     for cls, parent in class_parents(program, path):
-                        rows.append((root, f"class:{cls}", f"class:{cls}", "class", cls, parent, None, path, 0, None, None, None, None, False))
+                        rows.append((root, f"class:{cls}", f"class:{cls}", "class", cls, parent, None, path, 0, None, None, None, None, False, False))
                     for name, parts in constants_of(program, path):
-                        rows.append((root, f"const:{name}", name, "const", None, None, None, path, 0, json.dumps(parts).encode(), None, None, None, False))
+                        rows.append((root, f"const:{name}", name, "const", None, None, None, path, 0, json.dumps(parts).encode(), None, None, None, False, False))
                     for c in callables_of(path, source or "", program):
                         rows.append((root, c["key"], c["key"], c["kind"], c["class"], c["parent"], c["method"], path, c["line"], pickle.dumps(c), None, *outline(c)))
                 except (PhpError, RecursionError) as ex:
                     if fail_fast:
                         raise
-                    rows.append((root, f"error:{path}", f"error:{path}", "error", None, None, None, path, 0, None, str(ex), None, None, False))
+                    rows.append((root, f"error:{path}", f"error:{path}", "error", None, None, None, path, 0, None, str(ex), None, None, False, False))
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     nth = F.row_number().over(Window.partitionBy("root", "name").orderBy("path", "line", "record"))
@@ -297,22 +304,22 @@ def _interpret(inputs: DataFrame, strict: bool, models: dict | None = None) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            columns = [batch[c] for c in ("root", "key", "record", "constants", "callees")]
+            columns = [batch[c] for c in ("root", "key", "record", "constants", "literals", "callees")]
 
             def work(columns=columns) -> list:
                 rows = []
-                for root, key, record, texts, callees in zip(*columns):
+                for root, key, record, texts, literals, callees in zip(*columns):
                     known: dict[str, list[dict]] = {}
                     for c in sorted(callees if callees is not None else [], key=lambda c: (c["ref"], c["summary"])):
                         known.setdefault(c["ref"], []).append(json.loads(c["summary"]))
                     r = pickle.loads(record)
-                    more = {"key": key, "name": r["key"], "constants": dict(texts or {}), "models": shared.value}
+                    more = {"key": key.split("@")[0], "name": r["key"], "literals": dict(literals or {}), "constants": dict(texts or {}), "models": shared.value}
                     rows.append((root, key, json.dumps(Interpreter(r | more, known, strict).run(), sort_keys=True)))
                 return rows
 
             yield pd.DataFrame(deep(work), columns=["root", "key", "summary"])
 
-    return inputs.select("root", "key", "record", "constants", "callees").mapInPandas(run, "root string, key string, summary string")
+    return inputs.select("root", "key", "record", "constants", "literals", "callees").mapInPandas(run, "root string, key string, summary string")
 
 
 def _facts(summaries: DataFrame, name: str) -> DataFrame:
@@ -401,6 +408,17 @@ def _edges(summaries: DataFrame, callables: DataFrame) -> tuple[DataFrame, DataF
     return stage(edges, "taint-edges"), meaning
 
 
+def _clones(summaries: DataFrame, meaning: DataFrame, special: DataFrame) -> DataFrame:
+    """(root, caller, ref, given, callee, clone): calls that give texts to callables that these decide."""
+    said = _facts(summaries, "variants").select("root", F.col("key").alias("caller"), F.col("x")[0].alias("ref"), F.col("x")[1].alias("given"))
+    found = said.join(meaning, ["root", "ref"]).join(special, ["root", "callee"], "left_semi")
+    return found.withColumn("clone", F.concat_ws("@", "callee", "given")).distinct()
+
+
+def _clone_edges(clones: DataFrame) -> DataFrame:
+    return clones.select("root", "caller", F.concat_ws("@", "ref", "given").alias("ref"), F.col("clone").alias("callee")).distinct()
+
+
 #: Parts of a summary that references come from.
 _REFERRING = ("calls", "registered", "entries", "checks", "props")
 
@@ -412,15 +430,30 @@ def summarise(
 
     Each pass re-interprets the callers of callables whose summary changed, on
     the summaries of the pass before; results don't depend on any order.
-    ``prune`` leaves out callables that can't take part in a finding.
+    ``prune`` leaves out callables that can't take part in a finding. A
+    callable that compares a parameter, or calls what it names, has a clone
+    for each combination of texts that it is called with; such calls mean the
+    clone. Clones make no further clones.
     """
+    special = stage(callables.where("special").select("root", F.col("key").alias("callee")), "special")
     code = with_constants(callables).where("kind not in ('error', 'class', 'const')").select("root", "key", "record", "constants")
     if prune:
         code = code.join(relevant_callables(callables), ["root", "key"], "left_semi")
-    code = stage(code, "taint-code")
+    code = stage(code.withColumn("literals", F.create_map().cast("map<string,string>")), "taint-code")
     none = F.array().cast("array<struct<ref:string,summary:string>>")
     summaries = stage(_interpret(code.withColumn("callees", none), strict, models), "summaries")
     edges, meaning = _edges(summaries, callables)
+    clones = stage(_clones(summaries, meaning, special), "clones")
+    cloned = not clones.isEmpty()
+    if cloned:
+        base = code.withColumnRenamed("key", "callee").drop("literals")
+        given = clones.select("root", "callee", "clone", "given").distinct().join(base, ["root", "callee"])
+        given = given.select("root", F.col("clone").alias("key"), "record", "constants", F.from_json("given", "map<string,string>").alias("literals"))
+        code = stage(code.unionByName(given), "taint-code")
+        fresh = _interpret(given.withColumn("callees", none), strict, models)
+        summaries = stage(summaries.unionByName(fresh), "summaries")
+        edges, meaning = _edges(summaries, callables)
+        edges = edges.unionByName(_clone_edges(clones))
     pending = edges.select("root", F.col("caller").alias("key")).distinct()
     for _ in range(max_passes):
         inputs = (
@@ -440,6 +473,8 @@ def summarise(
         summaries = stage(kept.unionByName(changed.select("root", "key", "summary")), "summaries")
         if not changed.where("turned").isEmpty():  # else the references are what they were
             edges, meaning = _edges(summaries, callables)
+            if cloned:
+                edges = edges.unionByName(_clone_edges(clones))
         moved = changed.select("root", F.col("key").alias("callee"))
         pending = edges.join(moved, ["root", "callee"], "left_semi").select("root", F.col("caller").alias("key")).distinct()
     raise RuntimeError(f"no fixpoint after {max_passes} passes")

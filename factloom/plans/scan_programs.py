@@ -95,6 +95,9 @@ PROGRAMS: dict[str, dict[str, str]] = {
     "store_escaped": {"a.php": _SHUT + "echo esc_html(get_option('k'));"},
     "stack_recursion": {"a.php": _SHUT + "function a($x) { b($x); }\nfunction b($x) { a($x);\necho $x; }\na($_GET['q']);"},
     "stack_cycle": {"a.php": _SHUT + "class A extends B {} class B extends A {} (new A())->none($_GET['q']);\necho $_GET['r'];"},
+    "clone_mode": {"a.php": _SHUT + "function show($mode, $v) { if ($mode === 'raw') {\necho $v; } else { echo esc_html($v); } }\nshow('safe', $_GET['a']);\nshow('raw', $_GET['b']);"},
+    "clone_name": {"a.php": _SHUT + "function run($f, $v) { $f($v); }\nfunction plain($v) {\necho $v; } function other($v) { return 1; }\nrun('other', $_GET['a']);\nrun('plain', $_GET['b']);"},
+    "clone_growing": {"a.php": _SHUT + "function grow($s) { if ($s == 'x') { return; } grow($s . 'a'); echo $_GET['q']; }\ngrow('b');"},
     "reader_broken": {"a.php": "<?php if (", "b.php": _SHUT + "echo $_GET['q'];"},
     "reader_empty": {"a.php": "", "b.php": "no program at all"},
 }
@@ -167,6 +170,9 @@ redirect_plain wp-header-injection a.php:3 3 unknown - 200
 store_option wp-stored-xss-persistent-read-to-output a.php:6 6 authenticated - 1000
 stack_recursion wp-reflected-xss-direct-request-output a.php:4 5 unknown - 200
 stack_cycle wp-reflected-xss-direct-request-output a.php:3 3 unknown - 200
+clone_mode wp-reflected-xss-direct-request-output a.php:3 5 unknown - 200
+clone_name wp-reflected-xss-direct-request-output a.php:4 6 unknown - 200
+clone_growing wp-reflected-xss-direct-request-output a.php:2 2 unknown - 200
 reader_broken wp-reflected-xss-direct-request-output b.php:2 2 unknown - 200
 """
 #: Cases whose facts are looked at one by one.
