@@ -165,12 +165,15 @@ def outline(c: dict) -> tuple[list[str], list[str], bool, bool]:
 
 
 def class_parents(program: list, path: str) -> list[tuple[str, str]]:
-    """(class, parent) of all classes of a file that extend one, with or without methods."""
+    """(class, parent) of all classes of a file that extend one or use a trait, with or without methods."""
     out = []
 
     def visit(node):
         if isinstance(node, tuple) and len(node) == 7 and node[0] == "class" and node[3]:
             out.append((nameless(node[2], path), node[3].lstrip("\\").lower()))
+        if isinstance(node, tuple) and len(node) == 7 and node[0] == "class":
+            traits = [p[0][4:] for p in node[5] if p[0].startswith("use ")]
+            out.extend((nameless(node[2], path), t.lstrip("\\").lower()) for t in traits)
         if isinstance(node, (tuple, list)):
             for x in node:
                 visit(x)

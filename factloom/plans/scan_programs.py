@@ -40,6 +40,7 @@ PROGRAMS: dict[str, dict[str, str]] = {
     "name_space": {"a.php": _SHUT.replace("<?php", "<?php namespace A;") + "function f($v) { echo esc_html($v); } f($_GET['q']);", "b.php": _SHUT.replace("<?php", "<?php namespace B;") + "function f($v) {\necho $v; }\nf($_GET['q']);"},
     "name_closures": {"a.php": _SHUT + "add_action('wp_ajax_nopriv_a', function() { return 1; }); add_action('wp_ajax_nopriv_b', function() { echo $_GET['q']; });"},
     "name_chain": {"a.php": _SHUT + "class A extends B {} class B extends C {} class C extends D {} class D extends E {} class E extends F {} class F extends G {} class G extends H {}\nclass H { function show($v) {\necho $v; } }\n(new A())->show($_GET['q']);"},
+    "name_trait": {"a.php": _SHUT + "trait Shows { function show($v) {\necho $v; } } class P { use Shows; } class C extends P { use Other; }\n(new C())->show($_GET['q']);"},
     "name_property": {"a.php": _SHUT + "class S { function show($v) {\necho $v; } } class T { function show($v) { return 1; } }\nclass A { function __construct() { $this->s = new S(); } function run() { $this->s->show($_GET['q']); } }"},
     "name_holes": {"a.php": _SHUT + "class A { function go() { $x = $_GET['x']; $this->{'do_' . $x}($_GET['q']); }\nfunction do_show($v) {\necho $v; } function other($v) { print $v; } }"},
     "name_hook_holes": {"a.php": _SHUT + "add_action('save_post', 'a'); do_action(\"save_{$t}\", $_GET['q']);\nfunction a($v) {\necho $v; }"},
@@ -129,6 +130,7 @@ tier_file wp-reflected-xss-direct-request-output a.php:2 2 unknown - 200
 name_space wp-reflected-xss-direct-request-output b.php:3 4 unknown - 200
 name_closures wp-reflected-xss-direct-request-output a.php:2 2 unauthenticated - 1000
 name_chain wp-reflected-xss-direct-request-output a.php:4 5 unknown - 200
+name_trait wp-reflected-xss-direct-request-output a.php:3 4 unknown - 200
 name_property wp-reflected-xss-direct-request-output a.php:3 4 unknown - 200
 name_holes unsafe-use a.php:2 2 unknown - 200
 name_holes wp-reflected-xss-direct-request-output a.php:4 2 unknown - 200

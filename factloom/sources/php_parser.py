@@ -510,7 +510,21 @@ class Parser:
                     if not self.take(","):
                         break
                 self.end()
-            elif self.take("use", "case"):
+            elif self.at("use"):  # traits stand among the properties, under names that no property has
+                self.next()
+                while not self.at(";", "{"):
+                    k, t, _ = self.next()
+                    if k == "end":
+                        raise PhpError(f"line {m}: class isn't closed")
+                    if k == "name":
+                        props.append(("use " + self.class_name(t), None))
+                if self.take("{"):  # which methods stand for which, and under what names
+                    while not self.take("}"):
+                        if self.next()[0] == "end":
+                            raise PhpError(f"line {m}: class isn't closed")
+                else:
+                    self.end()
+            elif self.take("case"):
                 while not self.at(";", "{"):
                     if self.next()[0] == "end":
                         raise PhpError(f"line {m}: class isn't closed")
