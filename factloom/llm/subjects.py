@@ -125,13 +125,14 @@ class Lexicon:
         self.entries, self.subjects, self.memo = entries, subjects, {}
         self.subject_memo: dict[str, int] = {}
 
-    def scores(self, sentence: str) -> list[float]:
+    def scores(self, sentence: str) -> dict[int, float]:
+        """Weight of the entries of a sentence by subject."""
         got = self.memo.get(sentence)
         if got is None:
-            got = [0.0] * self.subjects
+            got = {}
             for g in grams(sentence):
                 if e := self.entries.get(g):
-                    got[e[0]] += e[1]
+                    got[e[0]] = got.get(e[0], 0.0) + e[1]
             if len(self.memo) > 50_000:
                 self.memo.clear()
             self.memo[sentence] = got
@@ -141,10 +142,7 @@ class Lexicon:
         """The subject of a sentence, or -1."""
         got = self.subject_memo.get(sentence)
         if got is None:
-            s: dict[int, float] = {}
-            for g in grams(sentence):
-                if e := self.entries.get(g):
-                    s[e[0]] = s.get(e[0], 0.0) + e[1]
+            s = self.scores(sentence)
             best = min(s, key=lambda i: (-s[i], i), default=-1)
             rest = max((x for i, x in s.items() if i != best), default=0.0)
             got = best if s and s[best] >= LEAST_SCORE and s[best] - rest >= LEAD else -1
@@ -154,17 +152,21 @@ class Lexicon:
         return got
 
 
-def _responsibilities(paragraph: list[str], allowed: list[int] | None, lexicon: Lexicon | None, subjects: int) -> list[float]:
-    """How much a paragraph belongs to each subject; without a lexicon, evenly to the allowed ones."""
-    if lexicon is None:
-        return [1 / len(allowed) if i in allowed else 0.0 for i in range(subjects)]
-    total = [sum(x) for x in zip(*(lexicon.scores(s) for s in paragraph))]
-    among = allowed if allowed else range(subjects)
-    best = max(among, key=lambda i: total[i])
-    if total[best] < LEAST_SCORE * (1 if allowed else 2):
-        return [0.0] * subjects if not allowed or len(allowed) > 1 else [1.0 if i in allowed else 0.0 for i in range(subjects)]
-    weights = [math.exp(max(-30.0, total[i] - total[best])) if i in among else 0.0 for i in range(subjects)]
-    return [w / sum(weights) for w in weights]
+def _responsibilities(paragraph: list[str], allowed: list[int], lexicon: Lexicon | None) -> dict[int, float]:
+    """How much a paragraph belongs to each of the allowed subjects; without a lexicon, evenly. Nothing if the lexicon can't tell."""
+    if lexicon is None or len(allowed) == 1:
+        return {i: 1 / len(allowed) for i in allowed}
+    total = dict.fromkeys(allowed, 0.0)
+    for s in paragraph:
+        for i, x in lexicon.scores(s).items():
+            if i in total:
+                total[i] += x
+    best = max(total.values())
+    if best < LEAST_SCORE:
+        return {}
+    weights = {i: math.exp(max(-30.0, x - best)) for i, x in total.items()}
+    whole = sum(weights.values())
+    return {i: w / whole for i, w in weights.items()}
 
 
 def fit_lexicon(sample: DataFrame, subjects: list[str], rounds: int = 3) -> Lexicon:
@@ -186,16 +188,14 @@ def fit_lexicon(sample: DataFrame, subjects: list[str], rounds: int = 3) -> Lexi
             for batch in batches:
                 for body, labels in zip(batch["body"], batch["labels"]):
                     allowed = [int(x) for x in labels]
-                    seen: dict[str, list[float]] = {}
+                    seen: dict[str, dict[int, float]] = {}
                     for paragraph in paragraphs_of(body):
-                        r = _responsibilities(paragraph, allowed, own, n)
-                        if not any(r):
-                            continue
-                        for s in paragraph:
-                            for g in grams(s):
-                                seen[g] = r if g not in seen else [max(x, y) for x, y in zip(seen[g], r)]
+                        r = _responsibilities(paragraph, allowed, own)
+                        for g in {g for s in paragraph for g in grams(s)} if r else ():
+                            before = seen.get(g)
+                            seen[g] = r if before is None or before is r else {i: max(x, before.get(i, 0.0)) for i, x in r.items()}
                     for g, r in seen.items():
-                        for i, x in enumerate(r):
+                        for i, x in r.items():
                             if x > 0.01:
                                 uses[g][i] += x
             rows = [(g, i, x) for g, of in uses.items() for i, x in of.items()]
