@@ -24,7 +24,7 @@ MAX_PATTERNS = 50_000
 #: Documents of one slice of the seeded order.
 SLICE_DOCUMENTS = 2_000
 #: Passes that take a document out of stretches with too much, and that add one to those with too little.
-DROPS, FILLS = 1, 4
+DROPS, FILLS = 1, 2
 #: Largest texts that fit a gap, of which a pass takes one after the other.
 CANDIDATES = 32
 
