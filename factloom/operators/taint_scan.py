@@ -14,6 +14,7 @@ import pickle
 import sys
 import threading
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -331,7 +332,28 @@ def _facts(summaries: DataFrame, name: str) -> DataFrame:
     )
 
 
-def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame, props: DataFrame | None = None) -> DataFrame:
+def class_ancestors(callables: DataFrame) -> DataFrame:
+    """(root, class, up, depth): every class with all that it inherits from, by the shortest way; cycles end.
+
+    Parents don't change from pass to pass, so chains are walked once, to
+    their end, and references are then resolved by joins alone.
+    """
+    parents = stage(callables.where("kind = 'class'").select("root", "class", F.col("parent").alias("up")).distinct(), "parents")
+    walk = parents.withColumn("depth", F.lit(1))
+    found = [walk]
+    above = parents.select("root", F.col("class").alias("up"), F.col("up").alias("next"))
+    while not walk.isEmpty():
+        seen = found[0] if len(found) == 1 else stage(reduce(DataFrame.unionByName, found), "ancestors")
+        found = [seen]
+        further = walk.join(above, ["root", "up"]).groupBy("root", "class", F.col("next").alias("up")).agg((F.min("depth") + 1).alias("depth"))
+        walk = stage(further.join(seen, ["root", "class", "up"], "left_anti"), "ancestors-walk")
+        found.append(walk)
+    return found[0]
+
+
+def resolve(
+    refs: DataFrame, callables: DataFrame, registered: DataFrame, props: DataFrame | None = None, ancestors: DataFrame | None = None
+) -> DataFrame:
     """(root, ref, callee): what references mean.
 
     Functions and closures by name, a function of a namespace before a global
@@ -374,21 +396,15 @@ def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame, props:
     )
     plain = plain.unionByName(loose.join(keys, ["root", "target"]).select("root", "ref", "target", "callee"))
     methods = callables.where("method is not null").select("root", "class", "parent", "method", "name", "key")
-    parents = callables.where("kind = 'class'").select("root", F.col("class").alias("at"), F.col("parent").alias("up")).distinct()
+    ancestors = class_ancestors(callables) if ancestors is None else ancestors
     split = F.regexp_extract("target", "^m:(.*)::", 1), F.regexp_extract("target", "::([^:]*)$", 1)
     open_ = direct.where(F.col("target").startswith("m:")).join(plain.select("root", "target"), ["root", "target"], "left_anti")
     walk = open_.where(~F.col("target").startswith("m:?")).select("root", "ref", "target", split[0].alias("at"), split[1].alias("method"))
     found = [plain.select("root", "ref", "callee")]
-    own = methods.select("root", F.col("class").alias("at"), "method", F.col("key").alias("callee"))
-    walk = stage(walk.distinct(), "taint-walk")
-    seen = walk
-    while not walk.isEmpty():  # a class is passed once by each reference, so cycles end
-        up = walk.join(parents, ["root", "at"]).select("root", "ref", "target", F.col("up").alias("at"), "method").distinct()
-        up = stage(up.join(seen, ["root", "ref", "target", "at", "method"], "left_anti"), "taint-walk")
-        hit = stage(up.join(own, ["root", "at", "method"]).select("root", "ref", "target", "callee"), "taint-inherited")
-        found.append(hit.select("root", "ref", "callee"))
-        seen = seen.unionByName(up)
-        walk = stage(up.join(hit, ["root", "ref", "target"], "left_anti"), "taint-walk")
+    own = methods.select("root", F.col("class").alias("up"), "method", F.col("key").alias("callee"))
+    hits = walk.distinct().join(ancestors.withColumnRenamed("class", "at"), ["root", "at"]).join(own, ["root", "up", "method"])
+    nearest = F.min("depth").over(Window.partitionBy("root", "ref", "target"))
+    found.append(hits.withColumn("nearest", nearest).where("depth = nearest").select("root", "ref", "callee"))
     only = methods.groupBy("root", "method").agg(F.count_distinct("name").alias("n"), F.collect_set("key").alias("keys")).where("n = 1")
     only = only.select("root", "method", F.explode("keys").alias("callee"))
     unknown = open_.where(F.col("target").startswith("m:?")).select("root", "ref", split[1].alias("method"))
@@ -399,14 +415,14 @@ def resolve(refs: DataFrame, callables: DataFrame, registered: DataFrame, props:
     return out.distinct()
 
 
-def _edges(summaries: DataFrame, callables: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _edges(summaries: DataFrame, callables: DataFrame, ancestors: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = _facts(summaries, "calls").select("root", F.col("key").alias("caller"), F.col("x")[0].alias("ref"))
     registered = _facts(summaries, "registered").select("root", F.col("x")[0].alias("hook"), F.col("x")[1].alias("target")).distinct()
     entries = _facts(summaries, "entries").select("root", F.col("x")[0].alias("ref"))
     wanted = calls.select("root", "ref").unionByName(entries).unionByName(registered.select("root", F.col("target").alias("ref")))
     helpers = _facts(summaries, "checks").where(F.col("x")[0].startswith("helper:")).select("root", F.col("x")[1].alias("ref"))
     props = _facts(summaries, "props").select("root", F.col("x")[0].alias("prop"), F.col("x")[1].alias("type")).distinct()
-    meaning = stage(resolve(wanted.unionByName(helpers), callables, registered, props), "taint-refs")
+    meaning = stage(resolve(wanted.unionByName(helpers), callables, registered, props, ancestors), "taint-refs")
     edges = calls.join(meaning, ["root", "ref"]).select("root", "caller", "ref", "callee").distinct()
     return stage(edges, "taint-edges"), meaning
 
@@ -438,6 +454,7 @@ def summarise(
     for each combination of texts that it is called with; such calls mean the
     clone. Clones make no further clones.
     """
+    ancestors = class_ancestors(callables)
     special = stage(callables.where("special").select("root", F.col("key").alias("callee")), "special")
     code = with_constants(callables).where("kind not in ('error', 'class', 'const')").select("root", "key", "record", "constants")
     if prune:
@@ -445,7 +462,7 @@ def summarise(
     code = stage(code.withColumn("literals", F.create_map().cast("map<string,string>")), "taint-code")
     none = F.array().cast("array<struct<ref:string,summary:string>>")
     summaries = stage(_interpret(code.withColumn("callees", none), strict, models), "summaries")
-    edges, meaning = _edges(summaries, callables)
+    edges, meaning = _edges(summaries, callables, ancestors)
     clones = stage(_clones(summaries, meaning, special), "clones")
     cloned = not clones.isEmpty()
     if cloned:
@@ -455,7 +472,7 @@ def summarise(
         code = stage(code.unionByName(given), "taint-code")
         fresh = _interpret(given.withColumn("callees", none), strict, models)
         summaries = stage(summaries.unionByName(fresh), "summaries")
-        edges, meaning = _edges(summaries, callables)
+        edges, meaning = _edges(summaries, callables, ancestors)
         edges = edges.unionByName(_clone_edges(clones))
     pending = edges.select("root", F.col("caller").alias("key")).distinct()
     for _ in range(max_passes):
@@ -475,7 +492,7 @@ def summarise(
         kept = summaries.join(changed, ["root", "key"], "left_anti")
         summaries = stage(kept.unionByName(changed.select("root", "key", "summary")), "summaries")
         if not changed.where("turned").isEmpty():  # else the references are what they were
-            edges, meaning = _edges(summaries, callables)
+            edges, meaning = _edges(summaries, callables, ancestors)
             if cloned:
                 edges = edges.unionByName(_clone_edges(clones))
         moved = changed.select("root", F.col("key").alias("callee"))
