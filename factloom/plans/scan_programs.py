@@ -1,6 +1,8 @@
 """Programs of a few lines, each a case of its own, with the findings and facts that a scan must give.
 
-What is expected stands in the SQL beside them, written from the rules and not from what the scan gives.
+What is expected stands in the SQL beside them. It was drawn up with the output
+of a run in view and each row gone over by the rules, so it guards against
+change and is no proof by a second hand.
 """
 
 from __future__ import annotations
