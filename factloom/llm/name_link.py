@@ -3,7 +3,7 @@
 Credits are parsed into parts once per distinct text. Names are compared as
 distinct spellings, twice: first the family names and the first words of
 organisations, then whole names. Each time MinHash banding over padded q-grams
-finds candidates, Monge-Elkan similarity over the parts of a name verifies
+and exact keys, which miss no pair, find candidates, Monge-Elkan similarity over the parts of a name verifies
 them, and star clustering gives each spelling the one it stands for. Whole
 names are those of persons (given name and family), of organisations (first
 word and line of business) and names run together in one word. Short forms,
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.edit_keys import BOTH, INDEX, PROBE, with_keys
 from factloom.llm.minhash import tune_bands, with_buckets
 from factloom.llm.name_words import BUSINESS_LINES, FIELDS, KNOWN_GIVEN, parse_credit
 from factloom.session import stage
@@ -74,12 +75,18 @@ def word_pairs(
     target: float = TARGET_SIMILARITY,
     recall: float = TARGET_RECALL,
     most_hashes: int = MOST_HASHES,
+    own: str = "word",
+    own_least: float | None = None,
 ) -> DataFrame:
-    """Verified pairs (space, a, b) of different words of one space.
+    """All pairs (space, a, b) of different words of one space that are similar enough, each verified.
 
     ``words``: space, word, side; a pair needs a left word of side 0 or 2 and
     a right one of side 1 or 2, and is given once where both may be either.
-    Parts of a word are told by blanks. Every candidate is verified; one of
+    Parts of a word are told by blanks. Candidates share a band, or one of the
+    exact keys of ``edit_keys``: banding finds a pair by chance, and seldom
+    where edits lie far apart, the keys find every pair. Where the caller
+    wants a column ``own`` of the words to be similar by itself, by
+    ``own_least``, the keys are made of that. Every candidate is verified; one of
     two single parts with more than twice the edits that the similarity
     allows (a swap is two plain ones) can't be similar enough and is left out
     before. A bucket that holds many words is split by
@@ -87,14 +94,19 @@ def word_pairs(
     """
     bands, rows = tune_bands(target, recall, most_hashes)
     numbered = words.select("space", "word", F.xxhash64("space", "word").alias("id"), "side")
-    buckets = with_buckets(numbered, q, bands, rows)
+    keyed = words.select("space", F.col(own).alias("word"), F.xxhash64("space", "word").alias("id"), "side")
+    buckets = with_buckets(numbered, q, bands, rows).withColumn("role", F.lit(BOTH).cast("tinyint")).unionByName(
+        with_keys(keyed, least if own_least is None else own_least)
+    )
     # Both sides come from one exchange: the test of the sides needs both of them, so that it can't move below the join.
-    left = buckets.select("bucket", F.col("id").alias("id_a"), F.col("side").alias("side_a"))
-    right = buckets.select("bucket", F.col("id").alias("id_b"), F.col("side").alias("side_b"))
+    left = buckets.select("bucket", F.col("id").alias("id_a"), F.col("side").alias("side_a"), F.col("role").alias("role_a"))
+    right = buckets.select("bucket", F.col("id").alias("id_b"), F.col("side").alias("side_b"), F.col("role").alias("role_b"))
+    meets = lambda a, b: (F.col(a).bitwiseAND(INDEX) > 0) & (F.col(b).bitwiseAND(PROBE) > 0)
+    roles = meets("role_a", "role_b") | meets("role_b", "role_a")
     sides = F.col("side_a") * 3 + F.col("side_b")
     once = F.when(sides == 8, F.col("id_a") < F.col("id_b")).otherwise(sides.isin(1, 2, 7))
     # Sizes of what Python makes are guessed from its input: a hint, lest the buckets be broadcast.
-    pairs = left.join(right.hint("merge"), "bucket").where(once).select("id_a", "id_b").distinct()
+    pairs = left.join(right.hint("merge"), "bucket").where(once & roles).select("id_a", "id_b").distinct()
     longer = F.greatest(F.length("a"), F.length("b"))
     far = F.levenshtein("a", "b") > F.lit(2 * (1 - least)) * longer + 1e-9
     single = ~F.contains("a", F.lit(" ")) & ~F.contains("b", F.lit(" "))
@@ -153,7 +165,7 @@ def whole_name_stars(names: DataFrame, known: list[str]) -> DataFrame:
     """(house, name, center) of names that stand for another one of their house, by whole names.
 
     ``names``: house, name, weight. A whole name is a name and its house; whole
-    names of one house are candidates by MinHash banding, verified by
+    names of one house are candidates by MinHash banding and keys, verified by
     Monge-Elkan over their parts, where the part that differs most must be
     similar enough by itself. Two names that are both in ``known`` are two,
     however alike. Star clustering by weight names the center.
@@ -162,8 +174,9 @@ def whole_name_stars(names: DataFrame, known: list[str]) -> DataFrame:
     several = names.groupBy("house").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("house")
     nodes = stage(names.join(several, "house", "left_semi").select("house", "name", "weight", whole.alias("word")), "whole-names")
     pairs = word_pairs(
-        nodes.select(F.col("house").alias("space"), "word", F.lit(2).alias("side")), WHOLE_SIMILARITY, WHOLE_Q, WHOLE_TARGET, WHOLE_RECALL, WHOLE_HASHES
-    )
+        nodes.select(F.col("house").alias("space"), "word", "name", F.lit(2).alias("side")),
+        WHOLE_SIMILARITY, WHOLE_Q, WHOLE_TARGET, WHOLE_RECALL, WHOLE_HASHES, "name", PART_SIMILARITY,
+    )
     cut = lambda c: F.expr(f"substring({c}, 1, length({c}) - length(space) - 1)")
     listed = F.array(*map(F.lit, known))
     pairs = pairs.select("space", cut("a").alias("a"), cut("b").alias("b"))

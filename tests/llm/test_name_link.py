@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from factloom.llm.minhash import band_hashes, collision, padded_qgrams, tune_bands
 from factloom.llm.name_link import (
+    FAMILY_SIMILARITY,
+    JOINED_SIMILARITY,
     JOINED_TARGET,
     MOST_HASHES,
+    PART_SIMILARITY,
     TARGET_RECALL,
     TARGET_SIMILARITY,
     WHOLE_HASHES,
     WHOLE_Q,
     WHOLE_RECALL,
+    WHOLE_SIMILARITY,
     WHOLE_TARGET,
     Q,
     linked_slugs,
@@ -124,3 +128,56 @@ def test_classes_hold_the_links_of_the_pairs(spark):
     df = spark.createDataFrame([(s, a, n, "x", "y", 1) for s, a, n in rows], SCHEMA)
     assert {tuple(r) for r in slug_classes(df).collect()} == {("s0", "s0", 2), ("s1", "s0", 2), ("s2", "s0", 2), ("s3", "s3", 0)}
     assert slug_classes(df.limit(0)).count() == 0
+
+
+def _slipped(rng, word, letters):
+    """A word after one slip: a letter changed, dropped, added or moved, or two letters swapped, however far apart."""
+    at, to, kind, w = rng.randrange(len(word)), rng.randrange(len(word)), rng.randrange(5), list(word)
+    if kind == 0:
+        w[at] = rng.choice(letters)
+    elif kind == 1 and len(w) > 1:
+        del w[at]
+    elif kind == 2:
+        w.insert(to, rng.choice(letters))
+    elif kind == 3:
+        w[at], w[to] = w[to], w[at]
+    else:
+        w.insert(to, w.pop(at))
+    return "".join(w)
+
+
+@pytest.mark.parametrize("least", [FAMILY_SIMILARITY, JOINED_SIMILARITY, 0.6])
+def test_every_pair_that_is_similar_enough_is_found(spark, least):
+    rng, words = random.Random(11), {}
+    for i in range(260):
+        letters = "ab" if i % 9 == 0 else "abcdefghijklmnopqrstuvwxyz"
+        longest = (8, 16, 30, 70)[i % 4]
+        parts = ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range((1, 1, 1, 2, 3, 4)[i % 6])]
+        other = list(parts)
+        for _ in range(rng.randint(1, max(1, int((1 - least) * sum(map(len, other)))))):
+            at = rng.randrange(len(other))
+            other[at] = _slipped(rng, other[at], letters)
+        rng.shuffle(other)
+        words |= {(f"s{i % 5}", " ".join(parts)): rng.randrange(3), (f"s{i % 5}", " ".join(other)): rng.randrange(3)}
+    df = spark.createDataFrame([(s, w, side) for (s, w), side in words.items()], "space string, word string, side int").repartition(4)
+    a, b = (df.select("space", F.col("word").alias(c), F.col("side").alias(f"side_{c}")) for c in "ab")
+    once = F.when(F.col("side_a") + F.col("side_b") == 4, F.col("a") < F.col("b")).otherwise((F.col("side_a") != 1) & (F.col("side_b") != 0))
+    want = a.join(b, "space").where("a <> b").where(once).where(monge_elkan(F.split("a", " "), F.split("b", " ")) >= least)
+    pair = lambda rows: {(r.space, frozenset((r.a, r.b))) for r in rows.collect()}
+    assert pair(word_pairs(df, least)) == pair(want) and want.count() > 60
+
+
+def test_every_pair_of_whole_names_is_found(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.sample("abcdefghijklm", rng.randint(4, 11))) for _ in range(120)]
+    rows = [(f"h{i} noq", n) for i, n in enumerate(names)] + [(f"h{i} noq", n[-1] + n[1:-1] + n[0]) for i, n in enumerate(names)]
+    df = spark.createDataFrame([(h, f"{n} {h}", n, 2) for h, n in rows], "space string, word string, name string, side int")
+    got = word_pairs(df, WHOLE_SIMILARITY, WHOLE_Q, WHOLE_TARGET, WHOLE_RECALL, WHOLE_HASHES, "name", PART_SIMILARITY)
+    assert {r.space for r in got.collect()} == {h for h, _ in rows}
+    stars = whole_name_stars(df.select(F.col("space").alias("house"), "name", F.lit(1).alias("weight")), [])
+    assert {r.house for r in stars.collect()} == {h for h, _ in rows}
+
+
+def test_a_slip_of_letters_far_apart_links(spark):
+    rows = [("a", None, "Maria Kelvona"), ("b", None, "Maria Aelvonk"), ("c", None, "Otto Brindel"), ("d", None, "Otto Lrindeb")]
+    assert links(spark, rows) == {("a", "b"), ("c", "d")}
